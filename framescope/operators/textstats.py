@@ -27,7 +27,14 @@ def clean_tokens(
 ) -> DataFrame:
     """Add the ordered keywords of each text as an array."""
     require_columns(df, [text])
-    return df.withColumn(into, tx.keyword_tokens(df[text], stopwords))
+    # The text without marks is a column of its own so that it is computed once per row.
+    bare = df.withColumn("_bare", tx.without_marks(df[text]))
+    return bare.withColumn(into, tx.keyword_tokens(F.col("_bare"), stopwords)).drop("_bare")
+
+
+# In the operators below the expression stands inside `explode` or `inline`. Exploding a
+# column that a projection computed makes Spark filter on that column first, which repeats
+# the costly expression.
 
 
 def keywords(
@@ -35,12 +42,14 @@ def keywords(
 ) -> DataFrame:
     """``(term, n)`` over all texts.
 
-    The words are exploded before they are tested, so the test runs in generated code, and
-    they are counted in each task before the shuffle, so a very frequent word is no hot key.
+    The stop words are tested after the explode, in generated code, and the words are counted
+    in each task before the shuffle, so a very frequent word is no hot key.
     """
     require_columns(df, [text])
-    words = df.select(F.explode(F.split(tx.stripped(df[text]), " ")).alias("term"))
-    return _count(words.where(tx.is_keyword(F.col("term"), stopwords)))
+    bare = df.select(tx.without_marks(df[text]).alias("_bare"))
+    words = bare.select(F.explode(tx.candidates(F.col("_bare"))).alias("_word"))
+    terms = words.select(F.lower("_word").alias("term"))
+    return _count(terms.where(~tx.is_stopword(F.col("term"), stopwords)))
 
 
 def hashtags(df: DataFrame, text: str = "text") -> DataFrame:
@@ -53,8 +62,10 @@ def bigrams(
     df: DataFrame, text: str = "text", stopwords: Iterable[str] = DEFAULT_STOPWORDS
 ) -> DataFrame:
     """``(term, n)`` of adjacent keywords within a text."""
-    tokens = clean_tokens(df.select(text), text, stopwords, into="_tokens").select("_tokens")
-    return _count(tokens.select(F.explode(tx.bigrams(F.col("_tokens"))).alias("term")))
+    tokens = clean_tokens(df.select(text), text, stopwords, into="_tokens")
+    pairs = tokens.select(F.inline(tx.adjacent(F.col("_tokens"))).alias("first", "second"))
+    counted = pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.concat_ws(" ", "first", "second").alias("term"), "n")
 
 
 def numeric_mentions(df: DataFrame, text: str = "text") -> DataFrame:
@@ -91,13 +102,6 @@ def ranked(counts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _tagged(kind: str, terms: Column) -> Column:
-    return F.transform(
-        F.coalesce(terms, F.array().cast("array<string>")),
-        lambda term: F.struct(F.lit(kind).alias("kind"), term.alias("term")),
-    )
-
-
 def top_terms(
     df: DataFrame,
     text: str = "text",
@@ -106,23 +110,33 @@ def top_terms(
 ) -> DataFrame:
     """``(kind, rank, term, n)``: top keywords, hashtags and bigrams from one scan.
 
-    Hashtags carry their ``#``. Each task keeps only its best rows per kind before the
-    ranking shuffle, as the filter on the rank allows.
+    Every keyword is counted together with the keyword that follows it (none after the last
+    one); hashtags are appended with their ``#`` and no follower. Pairs are the bigrams, and
+    summed over the follower they are the single terms, so the words are exploded and
+    shuffled once for all three lists.
     """
     tokens = clean_tokens(df.select(text), text, stopwords, into="_tokens")
-    terms = tokens.select(
-        F.inline(
-            F.concat(
-                _tagged("keyword", F.col("_tokens")),
-                _tagged("hashtag", F.transform(tx.hashtags(F.col(text)), lambda t: F.concat(F.lit("#"), t))),
-                _tagged("bigram", tx.bigrams(F.col("_tokens"))),
-            )
-        )
+    words = F.coalesce("_tokens", F.array().cast("array<string>"))
+    tags = F.coalesce(tx.hashtags(F.col(text)), F.array().cast("array<string>"))
+    listed = tokens.select(
+        words.alias("_words"),
+        F.concat(words, F.transform(tags, lambda tag: F.concat(F.lit("#"), tag))).alias("_all"),
     )
-    counts = terms.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("kind").orderBy(F.desc("n"), F.asc("term"))
-    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    followers = F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0)))
+    pairs = listed.select(F.inline(F.arrays_zip("_all", followers)).alias("first", "second"))
+    counts = pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+    singles = counts.groupBy(F.col("first").alias("term")).agg(F.sum("n").alias("n"))
+    is_tag = F.col("term").startswith("#")
+
+    def best(kind: str, terms: DataFrame, wanted: Column, k: int) -> DataFrame:
+        # The test is made on the count, so the three branches keep sharing their shuffles.
+        known = terms.where(F.when(wanted, F.col("n")) > 0)
+        return ranked(known, k).select(F.lit(kind).alias("kind"), "rank", "term", "n")
+
+    joined = counts.select("second", F.concat_ws(" ", "first", "second").alias("term"), "n")
     sub = min(TOP_SUBLISTS, top)
-    return best.where((F.col("kind") == "keyword") | (F.col("rank") <= sub)).select(
-        "kind", "rank", "term", "n"
+    return (
+        best("keyword", singles, ~is_tag, top)
+        .unionByName(best("hashtag", singles, is_tag, sub))
+        .unionByName(best("bigram", joined, F.col("second").isNotNull(), sub))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import DIGITS, HASHTAG, MENTION, NOT_ALNUM, URL, WORD
 from ..operators import textstats
+from ..sources.readers import spread
 from .catalog import Tables, query, sql_list
 
 # The raw documents have no tags, mentions of digits or web addresses, so a tail with all
@@ -19,7 +20,7 @@ POSTS_SQL = """
 
 
 def posts(t: Tables) -> DataFrame:
-    d = t.documents
+    d = spread(t.documents)
     text = F.concat(
         d.text, F.lit(" #"), d.source, F.lit(" #"), d.lang, F.lit(" @"), d.doc_id.cast("string"),
         F.lit(" @"), d.source, F.lit(" https://x.example/"), d.lang, F.lit("#part"), d.lang,
@@ -88,7 +89,7 @@ def clean_tokens(t: Tables) -> DataFrame:
 
 @query("keywords", _keywords_sql("SELECT doc_id, text FROM documents"))
 def keywords(t: Tables) -> DataFrame:
-    return textstats.keywords(t.documents)
+    return textstats.keywords(spread(t.documents))
 
 
 @query("hashtags", _hashtags_sql(POSTS_SQL))
@@ -98,7 +99,7 @@ def hashtags(t: Tables) -> DataFrame:
 
 @query("bigrams", _bigrams_sql("SELECT doc_id, text FROM documents"))
 def bigrams(t: Tables) -> DataFrame:
-    return textstats.bigrams(t.documents)
+    return textstats.bigrams(spread(t.documents))
 
 
 @query("numeric_mentions", _mentions_sql(POSTS_SQL))
@@ -128,7 +129,7 @@ def text_kpis(t: Tables) -> DataFrame:
     """,
 )
 def ranked_keywords(t: Tables) -> DataFrame:
-    return textstats.ranked(textstats.keywords(t.conversations), textstats.TOP_KEYWORDS)
+    return textstats.ranked(textstats.keywords(spread(t.conversations)), textstats.TOP_KEYWORDS)
 
 
 @query(

@@ -62,3 +62,14 @@ def as_frame(
         return read_csv(spark, source, schema)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.format(kind).load(source)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a freshly read table over the cores if its files give fewer tasks.
+
+    For work that is heavy per row (text) on an input of a few files. An input with at
+    least one split per core, as any large one has, is returned as it is, without a
+    shuffle. Call it on a plain scan only: counting the splits of a joined frame would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
