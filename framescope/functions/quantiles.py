@@ -11,11 +11,13 @@ of the rows costs one row.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import null_safe_join, settle
+from .sizing import null_safe_join, settle, total_of
 
 # Cells per doubling of the number. A cell spans under 0.01 % of its value, and whole
 # numbers below this have a cell of their own.
@@ -50,10 +52,11 @@ def summarise(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     tallies: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group: ``rows, n, mean, lowest, highest, quantiles`` and the tallies.
+    """One row per group: ``rows, all_rows, n, mean, lowest, highest, quantiles``, tallies.
 
     ``value`` is a double expression; its NULLs do not count in ``n`` or the statistics, but
-    their rows count in ``rows``, so a group without any number is kept. ``quantiles`` is an
+    their rows count in ``rows``, so a group without any number is kept. ``all_rows`` counts
+    the rows of all groups. ``quantiles`` is an
     array parallel to ``probs`` with linear interpolation. ``tallies`` are boolean
     expressions counted per group in the same scan.
 
@@ -87,11 +90,11 @@ def summarise(
         for p in probs
         for bound in (F.floor, F.ceil)
     ]
+    end = F.col("_before") + F.col("_n")
+    is_hot = reduce(or_, [(rank >= F.col("_before")) & (rank < end) for rank in wanted])
     ranks = F.filter(
-        F.array_distinct(F.array(*wanted)),
-        lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")),
+        F.array_distinct(F.array(*wanted)), lambda rank: (rank >= F.col("_before")) & (rank < end)
     )
-    placed = placed.withColumn("_ranks", ranks)
     # At most two cells per quantile hold a wanted rank, so the list stays short.
     heads = placed.groupBy(*by).agg(
         F.sum("_rows").alias("rows"),
@@ -101,26 +104,24 @@ def summarise(
         F.max("_hi").alias("highest"),
         *[F.sum(name).alias(name) for name in tallies],
         F.collect_list(
-            F.when(
-                F.size("_ranks") > 0,
-                F.struct("_cell", "_before", "_lo", "_hi", F.col("_ranks").alias("_ranks")),
-            )
+            F.when(is_hot, F.struct("_cell", "_before", "_lo", "_hi", ranks.alias("_ranks")))
         ).alias("_hot"),
     )
-    heads, small = settle(heads)
+    heads, rows = settle(heads)
+    small = rows is not None
+    all_rows = F.lit(sum(row["rows"] for row in rows)).cast("bigint") if small else total_of(heads, "rows")
 
     hot = heads.select(*by, F.inline("_hot"))
     closed = hot.where("_lo = _hi").select(*by, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_x"))
     opened = hot.where("_lo < _hi").select(*by, "_cell", "_before", "_ranks")
     found = closed
-    if not small or not opened.isEmpty():
-        inside = null_safe_join(
-            base.select(*by, "_cell", "_x"),
-            opened.select(*by, "_cell"),
-            [*by, "_cell"],
-            "left_semi",
-            broadcast_right=small,
-        )
+    if rows is None or any(cell["_lo"] < cell["_hi"] for row in rows for cell in row["_hot"]):
+        inside = base.where(F.col("_cell").isNotNull()).select(*by, "_cell", "_x")
+        if small:
+            inside = null_safe_join(
+                inside, opened.select(*by, "_cell"), [*by, "_cell"], "left_semi", broadcast_right=True
+            )
+        # Equal values are merged before any shuffled join, so a hot value is one row.
         counted = inside.groupBy(*by, "_cell", "_x").agg(F.count(F.lit(1)).alias("_c"))
         running = (
             Window.partitionBy(*by, "_cell")
@@ -128,12 +129,8 @@ def summarise(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         located = null_safe_join(
-            counted.withColumn("_upto", F.sum("_c").over(running)),
-            opened,
-            [*by, "_cell"],
-            "inner",
-            broadcast_right=small,
-        )
+            counted, opened, [*by, "_cell"], "inner", broadcast_right=small
+        ).withColumn("_upto", F.sum("_c").over(running))
         last = F.col("_before") + F.col("_upto")
         exact = located.select(
             *by,
@@ -162,6 +159,7 @@ def summarise(
     return joined.select(
         *by,
         "rows",
+        all_rows.alias("all_rows"),
         "n",
         "mean",
         "lowest",

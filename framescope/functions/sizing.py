@@ -4,24 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 # A frame is treated as small only after a probe has seen that it has no more rows than this.
 MAX_SMALL_ROWS = 10_000
 
 
-def settle(frame: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Probe whether ``frame`` is small, reading at most ``max_rows + 1`` rows.
+def settle(frame: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, list[Row] | None]:
+    """Probe whether ``frame`` is small, reading at most one row more than the limit.
 
     A small frame comes back as a local one (its plan is not run a second time) together
-    with ``True``: it may be broadcast. A larger frame comes back untouched with ``False``
-    and has to be joined by a shuffle.
+    with its rows: it may be broadcast. A larger frame is written to the shared folder, so
+    that it is computed once however often it is used, and comes back with ``None``: it has
+    to be joined by a shuffle.
+    """
+    limit = MAX_SMALL_ROWS if max_rows is None else max_rows
+    spark = frame.sparkSession
+    rows = frame.limit(limit + 1).collect()
+    if len(rows) > limit:
+        path = new_path(spark, "settled")
+        frame.write.parquet(path)
+        return spark.read.parquet(path), None
+    return spark.createDataFrame(rows, frame.schema), rows
+
+
+def total_of(grouped: DataFrame, column: str) -> Column:
+    """Sum of a column over a grouped frame, as a scalar.
+
+    The other columns are asked for too: with the same columns, this branch is the same
+    aggregation as that of the caller, and Spark runs its scan and shuffle once for both.
     """
-    rows = frame.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return frame, False
-    return frame.sparkSession.createDataFrame(rows, frame.schema), True
+    others = [F.max(name).alias(name) for name in grouped.columns if name != column]
+    return grouped.agg(F.struct(F.sum(column).alias("_total"), *others)).scalar()["_total"]
 
 
 def null_safe_join(

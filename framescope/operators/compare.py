@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import percent, positive
 from ..functions.guards import require_columns
-from ..functions.sizing import null_safe_join
+from ..functions.sizing import total_of
 from .distribution import group_stats
 
-# More named groups than this are matched by a shuffled join instead of a broadcast one.
-MAX_NAMED_GROUPS = 1_000
-
 
 def metric_by_group(
     df: DataFrame, metric: str, group: str, groups: Sequence[str] | None = None
@@ -36,8 +33,7 @@ def metric_means_by_group(
         *[F.coalesce(F.avg(positive(df[m])), F.lit(0.0)).alias(f"mean_{m}") for m in metrics],
         F.count(F.lit(1)).alias("rows"),
     )
-    total = grouped.agg(F.sum("rows")).scalar()
-    shared = grouped.withColumn("pct", percent(F.col("rows"), total))
+    shared = grouped.withColumn("pct", percent(F.col("rows"), total_of(grouped, "rows")))
     if not groups:
         return shared
     # Testing a count keeps the filter above the aggregation, whose shuffle the total reuses.
@@ -51,17 +47,25 @@ def composition(
     part: str,
     parts: Sequence[str],
     groups: Sequence[str] | None = None,
+    metric: str | None = None,
 ) -> DataFrame:
     """``(group, part, part_position, n, pct)``: shares of the parts inside each group.
 
     Every listed part appears in every group, with 0 where it does not occur. Rows without
-    a part do not count in the denominator; parts that are not listed do.
+    a part do not count in the denominator; parts that are not listed do. With a ``metric``,
+    ``metric_mean`` (over its positives) and ``group_rows`` stand beside, from the same scan.
     """
-    require_columns(df, [group, part])
+    require_columns(df, [group, part, *([metric] if metric else [])])
     source = df.where(F.col(group).isin(*groups)) if groups else df
+    beside = ["metric_mean", "group_rows"] if metric else []
+    extra = [
+        F.coalesce(F.avg(positive(F.col(metric))), F.lit(0.0)).alias("metric_mean"),
+        F.count(F.lit(1)).alias("group_rows"),
+    ] if metric else []
     counted = source.groupBy(F.col(group).alias("group")).agg(
         F.count(F.col(part)).alias("_all"),
         *[F.count_if(F.col(part) == F.lit(p)).alias(f"p{i}") for i, p in enumerate(parts)],
+        *extra,
     )
     entries = [
         F.struct(
@@ -69,12 +73,13 @@ def composition(
         )
         for i, p in enumerate(parts)
     ]
-    return counted.select("group", "_all", F.inline(F.array(*entries))).select(
+    return counted.select("group", "_all", *beside, F.inline(F.array(*entries))).select(
         "group",
         "part",
         "part_position",
         "n",
         F.coalesce(percent(F.col("n"), F.col("_all")), F.lit(0.0)).alias("pct"),
+        *beside,
     )
 
 
@@ -90,28 +95,6 @@ def composition_bounds(composed: DataFrame) -> DataFrame:
     return composed.withColumn("upper", upper).withColumn("lower", F.col("upper") - F.col("pct"))
 
 
-def composition_with_metric(
-    df: DataFrame,
-    group: str,
-    part: str,
-    parts: Sequence[str],
-    metric: str,
-    groups: Sequence[str],
-) -> DataFrame:
-    """Composition with the mean of a metric (positives) and the row count of the group."""
-    means = metric_means_by_group(df, [metric], group, groups).select(
-        "group", F.col(f"mean_{metric}").alias("metric_mean"), F.col("rows").alias("group_rows")
-    )
-    # One row per listed group.
-    return null_safe_join(
-        composition(df, group, part, parts, groups),
-        means,
-        ["group"],
-        "left",
-        broadcast_right=len(groups) <= MAX_NAMED_GROUPS,
-    )
-
-
 def trait_means(
     df: DataFrame,
     traits: Mapping[str, str],

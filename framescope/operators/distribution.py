@@ -189,7 +189,6 @@ def group_stats(
     """
     require_columns(df, [metric, group])
     summary = summarise(df, positive(df[metric]), [group], probs)
-    total = summary.agg(F.sum("rows")).scalar()
     zero = F.lit(0.0)
     return summary.select(
         F.col(group).alias("group"),
@@ -200,7 +199,7 @@ def group_stats(
         ],
         "n",
         "rows",
-        percent(F.col("rows"), total).alias("pct"),
+        percent(F.col("rows"), F.col("all_rows")).alias("pct"),
     )
 
 

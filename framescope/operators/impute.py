@@ -16,7 +16,6 @@ from ..functions.cleaning import is_missing
 from ..functions.guards import require_columns
 from ..functions.quantiles import summarise
 from ..functions.sizing import null_safe_join, settle
-from .distribution import top_values
 from .profile import missing_report
 
 
@@ -52,26 +51,85 @@ def fill_fixed(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.withColumns({name: _filled(df, name, F.lit(value)) for name, value in values.items()})
 
 
+def _modes(df: DataFrame, present: Mapping[str, Column]) -> DataFrame:
+    """One row with the most frequent value per column as text, the smallest of a tie.
+
+    All columns are counted in one scan. The second step sees one row per distinct value
+    and combines before its shuffle.
+    """
+    long = df.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(name).alias("column"), value.cast("string").alias("value"))
+                    for name, value in present.items()
+                ]
+            )
+        )
+    )
+    counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy().agg(
+        *[
+            F.min_by("value", F.when(F.col("column") == name, F.struct(-F.col("n"), _typed(df, name))))
+            .alias(name)
+            for name in present
+        ]
+    )
+
+
+def _typed(df: DataFrame, name: str) -> Column:
+    return F.col("value").try_cast(df.schema[name].dataType)
+
+
 def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
     """Replace missing values by ``mean``, ``median`` or ``mode`` of the column.
 
     The median is exact. The mode is the most frequent value, the smallest one of a tie. A
-    whole-number column keeps its type, so a mean is cut to a whole number.
+    whole-number column keeps its type, so a mean is cut to a whole number. One scan serves
+    all means, one all modes, and at most two all medians.
     """
     require_columns(df, strategies)
-    filled = {}
-    for name, strategy in strategies.items():
-        present = F.when(~is_missing(df[name], df.schema[name].dataType), df[name])
-        if strategy == "mean":
-            value = df.agg(F.avg(present)).scalar()
-        elif strategy == "median":
-            value = summarise(df, present.cast("double"), (), (0.5,)).select(F.col("quantiles")[0]).scalar()
-        elif strategy == "mode":
-            value = top_values(df.select(present.alias("v")), "v", 1).select("value").scalar()
-        else:
-            raise ValueError(f"unknown strategy: {strategy}")
-        filled[name] = _filled(df, name, value)
-    return df.withColumns(filled)
+    unknown = set(strategies.values()) - {"mean", "median", "mode"}
+    if unknown:
+        raise ValueError(f"unknown strategies: {sorted(unknown)}")
+
+    def having(strategy: str) -> dict[str, Column]:
+        return {
+            name: F.when(~is_missing(df[name], df.schema[name].dataType), df[name])
+            for name, wanted in strategies.items()
+            if wanted == strategy
+        }
+
+    values: dict[str, Column] = {}
+    means, medians, modes = having("mean"), having("median"), having("mode")
+    if means:
+        row = df.agg(F.struct(*[F.avg(value).alias(name) for name, value in means.items()])).scalar()
+        values |= {name: row[name] for name in means}
+    if medians:
+        long = df.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(name).alias("column"), value.cast("double").alias("v"))
+                        for name, value in medians.items()
+                    ]
+                )
+            )
+        )
+        halves = summarise(long, F.col("v"), ["column"], (0.5,))
+        row = halves.agg(
+            F.struct(
+                *[
+                    F.max(F.when(F.col("column") == name, F.col("quantiles")[0])).alias(name)
+                    for name in medians
+                ]
+            )
+        ).scalar()
+        values |= {name: row[name] for name in medians}
+    if modes:
+        row = _modes(df, modes).select(F.struct(*modes)).scalar()
+        values |= {name: row[name] for name in modes}
+    return df.withColumns({name: _filled(df, name, value) for name, value in values.items()})
 
 
 def _default_chunk(df: DataFrame, order: str) -> Column:
@@ -164,8 +222,8 @@ def fill_from_donors(
     require_columns(df, [column, *match])
     require_columns(donors, [column, *match, order])
     given = donors.where(~is_missing(donors[column], donors.schema[column].dataType))
-    chosen, small = settle(given.groupBy(*match).agg(F.min_by(column, order).alias("_donor")))
-    joined = null_safe_join(df, chosen, match, "left", broadcast_right=small)
+    chosen, rows = settle(given.groupBy(*match).agg(F.min_by(column, order).alias("_donor")))
+    joined = null_safe_join(df, chosen, match, "left", broadcast_right=rows is not None)
     return joined.withColumn(column, _filled(df, column, F.col("_donor"))).select(*df.columns)
 
 

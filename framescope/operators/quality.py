@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,88 +176,104 @@ def float_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def exception_report(df: DataFrame, expected: Expectations) -> DataFrame:
-    """``(section, column, finding, n, pct, severity, note)``: exceptions only.
-
-    Two scans: one that groups by the keys, and one that counts every other condition. A
-    wrong type is reported when the stored type is not the expected one; its count is the
-    number of values that would not convert.
-    """
+def _findings(df: DataFrame, expected: Expectations) -> DataFrame:
+    """Every rule with its count, whether it is an exception (``found``), and the rows."""
     stored = dict(df.dtypes)
     rules: list[tuple[dict[str, str], Column]] = []
 
-    def rule(section: str, column: str, finding: str, note: str, always: bool, condition: Column) -> None:
-        labels = {
-            "section": section,
-            "column": column,
-            "finding": finding,
-            "severity": WARNING,
-            "note": note,
-            "always": "yes" if always else "no",
-        }
+    def rule(section: str, column: str, finding: str, note: str, condition: Column) -> None:
+        labels = {"section": section, "column": column, "finding": finding, "severity": WARNING, "note": note}
         rules.append((labels, condition))
 
     for name, wanted in expected.types.items():
-        same = stored[name] == T._parse_datatype_string(wanted).simpleString()
-        if not same:
+        if stored[name] != T._parse_datatype_string(wanted).simpleString():
             note = f"stored as {stored[name]}, expected {wanted}"
-            rule(TYPES, name, "wrong type", note, True, does_not_convert(df[name], wanted))
+            rule(TYPES, name, "wrong type", note, does_not_convert(df[name], wanted))
     for name, words in expected.keywords.items():
-        rule(VALUES, name, "invalid values", "contains a listed keyword", False, has_keyword(df[name], words))
+        rule(VALUES, name, "invalid values", "contains a listed keyword", has_keyword(df[name], words))
     for name in expected.not_blank:
-        rule(VALUES, name, "blank strings", "white space instead of a missing value", False, is_blank(df[name]))
+        rule(VALUES, name, "blank strings", "white space instead of a missing value", is_blank(df[name]))
     for name, allowed in expected.domains.items():
         note = "allowed: " + ", ".join(str(a) for a in allowed)
-        rule(VALUES, name, "unexpected values", note, False, outside(df[name], allowed))
+        rule(VALUES, name, "unexpected values", note, outside(df[name], allowed))
     for name in expected.ids:
-        note = "cast to text before use"
-        rule(VALUES, name, "ids stored as decimals", note, False, is_float_id(df[name], df.schema[name].dataType))
+        decimal = is_float_id(df[name], df.schema[name].dataType)
+        rule(VALUES, name, "ids stored as decimals", "cast to text before use", decimal)
 
-    columns = ["section", "column", "finding", "n", "pct", "severity", "note"]
     parts = []
     if expected.keys:
         parts.append(
-            duplicate_finding(df, expected.keys).select(
+            duplicate_rows(df, expected.keys).select(
                 F.lit(DUPLICATES).alias("section"),
-                "column",
+                F.lit(", ".join(expected.keys)).alias("column"),
                 F.lit("duplicate rows").alias("finding"),
+                F.lit(ISSUE).alias("severity"),
+                F.lit("rows beyond the first of their key").alias("note"),
                 "n",
+                "rows",
                 "pct",
-                "severity",
-                F.lit("rows beyond the first of their key").alias("note"),
             )
         )
-    if rules:
-        kept = _tally(df, rules).where((F.col("n") > 0) | (F.col("always") == "yes"))
-        parts.append(kept.select(*columns))
-    if not parts:
-        schema = "section string, column string, finding string, n bigint, pct double, severity string, note string"
-        return df.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    if rules or not parts:
+        nothing = dict.fromkeys(("section", "column", "finding", "severity", "note"), "")
+        parts.append(_tally(df, rules or [(nothing, F.lit(False))]))
+    # A wrong type counts even when every value would convert.
+    found = (F.col("n") > 0) | (F.col("section") == TYPES)
+    return reduce(DataFrame.unionByName, parts).withColumn("found", found)
+
+
+def exception_report(df: DataFrame, expected: Expectations) -> DataFrame:
+    """``(section, column, finding, n, pct, severity, note)``: exceptions only.
+
+    Two scans: one that groups by the keys, and one that counts every other condition. A
+    wrong type is reported when the stored type is not the expected one; its count is the
+    number of values that would not convert.
+    """
+    return _findings(df, expected).where("found").select(
+        "section", "column", "finding", "n", "pct", "severity", "note"
+    )
 
 
 def exception_breakdown(df: DataFrame, expected: Expectations) -> DataFrame:
-    """``(column, value, n)``: what lies behind the invalid and unexpected values."""
-    parts = [
-        top_invalid(df, name, words).select(F.lit(name).alias("column"), F.col("value").cast("string"), "n")
+    """``(column, value, n)``: the values behind the invalid and unexpected ones.
+
+    All columns are counted in one scan. Of a column with a keyword list the invalid values
+    are listed, of one with a domain all values, the most frequent ones each.
+    """
+    sides = [
+        (name, TOP_INVALID, F.when(has_keyword(df[name], words), df[name].cast("string")))
         for name, words in expected.keywords.items()
     ]
-    parts += [
-        category_breakdown(df, name).select(F.lit(name).alias("column"), F.col("value").cast("string"), "n")
-        for name in expected.domains
-    ]
-    if not parts:
+    sides += [(name, TOP_BREAKDOWN, df[name].cast("string")) for name in expected.domains]
+    if not sides:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    return reduce(DataFrame.unionByName, parts)
+    entries = [
+        F.struct(F.lit(i).alias("side"), F.lit(name).alias("column"), F.lit(k).alias("k"), value.alias("value"))
+        for i, (name, k, value) in enumerate(sides)
+    ]
+    counts = (
+        df.select(F.inline(F.array(*entries)))
+        .where(F.col("value").isNotNull())
+        .groupBy("side", "column", "k", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # Each task keeps its best rows per side before the ranking shuffle.
+    order = Window.partitionBy("side").orderBy(F.desc("n"), F.asc("value"))
+    best = counts.withColumn("rank", F.row_number().over(order)).where(
+        F.col("rank") <= max(TOP_INVALID, TOP_BREAKDOWN)
+    )
+    return best.where(F.col("rank") <= F.col("k")).select("column", "value", "n")
 
 
 def quality_rollup(df: DataFrame, expected: Expectations) -> DataFrame:
-    """``(issues, warnings, rows, columns)`` over the exception report."""
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    return exception_report(df, expected).agg(
-        F.count_if(F.col("severity") == ISSUE).alias("issues"),
-        F.count_if(F.col("severity") == WARNING).alias("warnings"),
-    ).select("issues", "warnings", rows.alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"))
+    """``(issues, warnings, rows, columns)`` over the exception report, from the same scans."""
+    found = F.col("found")
+    return _findings(df, expected).agg(
+        F.count_if(found & (F.col("severity") == ISSUE)).alias("issues"),
+        F.count_if(found & (F.col("severity") == WARNING)).alias("warnings"),
+        F.max("rows").alias("rows"),
+        F.lit(len(df.columns)).cast("bigint").alias("columns"),
+    )
 
 
 def missing_explained(df: DataFrame, target: str, flag: str) -> DataFrame:

@@ -110,8 +110,9 @@ def volume_pivot(
     """
     long = volume(df, ts, series, freq, top, other, labels)
     if names is None:
-        found = long.groupBy("series").agg(F.min("series_rank").alias("r")).orderBy("r", "series")
-        names = [row["series"] for row in found.limit(top + 1).collect()]
+        found = long.groupBy("series").agg(F.min("series_rank").alias("r"), F.sum("n").alias("n"))
+        best = found.where(F.col("n") > 0).orderBy("r", "series").limit(top + 1)
+        names = [row["series"] for row in best.collect()]
     if not names:
         return long.select("period").distinct()
     return long.groupBy("period").pivot("series", list(names)).agg(F.sum("n")).na.fill(0, list(names))

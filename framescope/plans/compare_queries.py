@@ -108,7 +108,7 @@ def composition_bounds(t: Tables) -> DataFrame:
     """,
 )
 def composition_with_metric(t: Tables) -> DataFrame:
-    both = compare.composition_with_metric(joined(t), "lang", "toxic", PARTS, "n_chars", ["en", "fr"])
+    both = compare.composition(joined(t), "lang", "toxic", PARTS, ["en", "fr"], metric="n_chars")
     return both.withColumns({c: F.round(c, 6) for c in ("pct", "metric_mean")})
 
 
