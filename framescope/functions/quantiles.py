@@ -97,12 +97,12 @@ def summarise(
     )
     # At most two cells per quantile hold a wanted rank, so the list stays short.
     heads = placed.groupBy(*by).agg(
-        F.sum("_rows").alias("rows"),
-        F.sum("_n").alias("n"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
         F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean"),
         F.min("_lo").alias("lowest"),
         F.max("_hi").alias("highest"),
-        *[F.sum(name).alias(name) for name in tallies],
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in tallies],
         F.collect_list(
             F.when(is_hot, F.struct("_cell", "_before", "_lo", "_hi", ranks.alias("_ranks")))
         ).alias("_hot"),
