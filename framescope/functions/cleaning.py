@@ -100,3 +100,15 @@ def is_missing(value: Column, dtype: T.DataType) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """``part`` in percent of ``whole``; NULL when ``whole`` is zero."""
     return F.try_divide(part * F.lit(100.0), whole)
+
+
+def short_key(value: Column, dtype: T.DataType) -> Column:
+    """A grouping key of at most 64 characters that is equal exactly where ``value`` is.
+
+    A long text is replaced by its SHA-256 digest, so that grouping by whole documents
+    shuffles digests and not the documents. A shorter text stays as it is and, being
+    shorter than a digest, cannot be taken for one.
+    """
+    if not isinstance(dtype, T.StringType):
+        return value
+    return F.when(F.length(value) >= 64, F.sha2(value, 256)).otherwise(value)

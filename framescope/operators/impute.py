@@ -18,6 +18,10 @@ from ..functions.quantiles import summarise
 from ..functions.sizing import null_safe_join, settle
 from .profile import missing_report
 
+# Units of time tried in turn, and the rows of one key that one task should sort at most.
+CHUNK_UNITS = ("day", "hour", "minute", "second")
+MAX_CHUNK_ROWS = 5_000_000
+
 
 def _filled(df: DataFrame, column: str, value: Column) -> Column:
     """The column with its missing values replaced, in its own type."""
@@ -132,10 +136,20 @@ def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
     return df.withColumns({name: _filled(df, name, value) for name, value in values.items()})
 
 
-def _default_chunk(df: DataFrame, order: str) -> Column:
-    if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_trunc("day", df[order])
-    raise ValueError(f"give a chunk expression: {order} is not a time")
+def _time_chunk(df: DataFrame, keys: Sequence[str], order: str) -> Column:
+    """The coarsest unit of time in which no key has more rows than one task should sort.
+
+    Each try is one scan of the key and the time that returns a single number; most tables
+    stop at the first.
+    """
+    if not isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        raise ValueError(f"give a chunk expression: {order} is not a time")
+    for unit in CHUNK_UNITS[:-1]:
+        chunk = F.date_trunc(unit, df[order])
+        fullest = df.groupBy(*keys, chunk.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"))
+        if (fullest.first()[0] or 0) <= MAX_CHUNK_ROWS:
+            return chunk
+    return F.date_trunc(CHUNK_UNITS[-1], df[order])
 
 
 def _carry(
@@ -152,7 +166,7 @@ def _carry(
         raise ValueError("a fill in order needs a key")
     value = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
     marked = df.withColumns(
-        {"_k": F.struct(*keys), "_c": chunk if chunk is not None else _default_chunk(df, order), "_v": value}
+        {"_k": F.struct(*keys), "_c": chunk if chunk is not None else _time_chunk(df, keys, order), "_v": value}
     )
     # A struct of the keys equals another even where both hold a NULL, so the window and
     # the join below can use one partitioning.
@@ -190,10 +204,11 @@ def fill_forward(
 ) -> DataFrame:
     """Replace a missing value by the last one before it within the key.
 
-    The rows of a key are cut into chunks of time (a day unless ``chunk`` says otherwise;
-    it must not decrease in ``order``), filled inside each chunk, and the last value of
-    each chunk is carried on. So a key that holds a third of the table is spread over its
-    chunks. ``ties`` order rows of equal time.
+    The rows of a key are cut into chunks of time, filled inside each chunk, and the last
+    value of each chunk is carried on. So a key that holds a third of the table is spread
+    over its chunks. The unit of time is chosen so that no chunk is too large for a task;
+    ``chunk`` gives another expression, which must not decrease in ``order``. ``ties``
+    order rows of equal time.
     """
     return _carry(df, column, keys, order, ties, chunk, True)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import percent
+from ..functions.cleaning import percent, short_key
 from ..functions.guards import require_columns
 from .distribution import top_values, value_counts
 
@@ -73,7 +73,8 @@ def does_not_convert(value: Column, expected: str) -> Column:
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(n, rows, pct)``: rows beyond the first of their key; NULL keys equal one another."""
     require_columns(df, keys)
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    short = [short_key(df[key], df.schema[key].dataType).alias(f"_k{i}") for i, key in enumerate(keys)]
+    per_key = df.groupBy(*short).agg(F.count(F.lit(1)).alias("_n"))
     return per_key.agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),

@@ -34,6 +34,8 @@ def test_duplicates_count_missing_keys_as_one(people):
     assert one(quality.duplicate_rows(people, ["name"])) == [(3, 6, 50.0)]
     assert one(quality.duplicate_finding(people, ["name"])) == [("name", 3, 50.0, "issue")]
     assert quality.duplicate_finding(people, ["name", "place", "bio"]).count() == 0
+    long = people.withColumn("place", F.concat(F.repeat(F.lit("x"), 64), F.col("place")))
+    assert one(quality.duplicate_rows(long, ["place"])) == [(1, 6, pytest.approx(100 / 6))]
     n, rows, _ = one(quality.duplicate_rows(people, ["lang"]))[0]
     assert n == rows - people.select("lang").distinct().count()
 
@@ -109,8 +111,9 @@ def test_fixed_and_statistics(spark):
         impute.fill_statistic(df, {"x": "magic"})
 
 
-@pytest.mark.parametrize("chunk", ["day", "hour", "year"])
-def test_fills_in_order_equal_pandas(spark, chunk):
+@pytest.mark.parametrize("chunk, most", [("hour", 0), ("year", 0), (None, 5_000_000), (None, 3), (None, 0)])
+def test_fills_in_order_equal_pandas(spark, monkeypatch, chunk, most):
+    monkeypatch.setattr(impute, "MAX_CHUNK_ROWS", most)
     rng = random.Random(5)
     start = dt.datetime(2025, 1, 1)
     rows = [
@@ -122,7 +125,7 @@ def test_fills_in_order_equal_pandas(spark, chunk):
     pdf = pd.DataFrame(rows, columns=["k", "at", "i", "v"]).sort_values(["at", "i"])
     grouped = pdf.groupby("k", dropna=False)["v"]
     for fill, wanted in ((impute.fill_forward, grouped.ffill()), (impute.fill_backward, grouped.bfill())):
-        got = fill(df, "v", ["k"], "at", ["i"], chunk=F.date_trunc(chunk, "at"))
+        got = fill(df, "v", ["k"], "at", ["i"], chunk=F.date_trunc(chunk, "at") if chunk else None)
         values = {r["i"]: r["v"] for r in got.collect()}
         assert values == {i: (None if pd.isna(v) else v) for i, v in zip(pdf["i"], wanted)}
         assert got.columns == df.columns
