@@ -14,6 +14,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Settings that only a new session can take. A report is built from many small column
+# expressions, and recording the Python call site of each takes longer than the planning.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else started."""
@@ -28,7 +32,7 @@ def build_session(app_name: str = "framescope", master: str | None = None, **con
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in RUNTIME_CONF.items():
+    for key, value in (RUNTIME_CONF | START_CONF).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
