@@ -136,20 +136,34 @@ def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
     return df.withColumns({name: _filled(df, name, value) for name, value in values.items()})
 
 
-def _time_chunk(df: DataFrame, keys: Sequence[str], order: str) -> Column:
-    """The coarsest unit of time in which no key has more rows than one task should sort.
-
-    Each try is one scan of the key and the time that returns a single number; most tables
-    stop at the first.
+def _chunk_of_hot_keys(
+    df: DataFrame, keys: Sequence[str], order: str
+) -> tuple[DataFrame, Column | None]:
+    """Mark the keys with more rows than one task should sort, and cut only those in time.
+
+    Returns the frame with ``_hot`` and the chunk expression, which is NULL for all other
+    keys; or the frame and ``None`` if no key is hot. The unit of time is the coarsest in
+    which no chunk is too large; each try returns a single number.
     """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot, rows = settle(sizes.where(F.col("_n") > MAX_CHUNK_ROWS).select(*keys))
+    if rows is not None and not rows:
+        return df, None
     if not isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        raise ValueError(f"give a chunk expression: {order} is not a time")
+        raise ValueError(f"give a chunk expression: a key is too large, and {order} is not a time")
+    marked = null_safe_join(
+        df, hot.withColumn("_hot", F.lit(True)), keys, "left", broadcast_right=rows is not None
+    )
     for unit in CHUNK_UNITS[:-1]:
-        chunk = F.date_trunc(unit, df[order])
-        fullest = df.groupBy(*keys, chunk.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"))
-        if (fullest.first()[0] or 0) <= MAX_CHUNK_ROWS:
-            return chunk
-    return F.date_trunc(CHUNK_UNITS[-1], df[order])
+        fullest = (
+            marked.where("_hot")
+            .groupBy(*keys, F.date_trunc(unit, order).alias("_c"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .agg(F.max("_n"))
+        )
+        if fullest.first()[0] <= MAX_CHUNK_ROWS:
+            return marked, F.when(F.col("_hot"), F.date_trunc(unit, order))
+    return marked, F.when(F.col("_hot"), F.date_trunc(CHUNK_UNITS[-1], order))
 
 
 def _carry(
@@ -164,16 +178,23 @@ def _carry(
     require_columns(df, [column, *keys, order, *ties])
     if not keys:
         raise ValueError("a fill in order needs a key")
-    value = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
-    marked = df.withColumns(
-        {"_k": F.struct(*keys), "_c": chunk if chunk is not None else _time_chunk(df, keys, order), "_v": value}
-    )
-    # A struct of the keys equals another even where both hold a NULL, so the window and
-    # the join below can use one partitioning.
     direction = (lambda c: F.col(c).asc()) if forward else (lambda c: F.col(c).desc())
+    sequence = [direction(c) for c in [order, *ties]]
+    value = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
+    base = df.withColumn("_v", value)
+    if chunk is None:
+        base, chunk = _chunk_of_hot_keys(base, keys, order)
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(*sequence)
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return base.withColumn(column, F.last("_v", ignorenulls=True).over(upto)).select(*df.columns)
+
+    # Structs of the key and of the chunk equal one another even where they hold a NULL, so
+    # the window and the join below can use one partitioning.
+    marked = base.withColumns({"_k": F.struct(*keys), "_c": F.struct(chunk.alias("chunk"))})
     within = (
         Window.partitionBy("_k", "_c")
-        .orderBy(*[direction(c) for c in [order, *ties]])
+        .orderBy(*sequence)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     near = marked.withColumn("_near", F.last("_v", ignorenulls=True).over(within))
@@ -204,11 +225,11 @@ def fill_forward(
 ) -> DataFrame:
     """Replace a missing value by the last one before it within the key.
 
-    The rows of a key are cut into chunks of time, filled inside each chunk, and the last
-    value of each chunk is carried on. So a key that holds a third of the table is spread
-    over its chunks. The unit of time is chosen so that no chunk is too large for a task;
-    ``chunk`` gives another expression, which must not decrease in ``order``. ``ties``
-    order rows of equal time.
+    A key with more rows than one task should sort is cut into chunks of time, filled inside
+    each chunk, and the last value of each chunk is carried on. So a key that holds a third
+    of the table is spread over its chunks. The unit of time is chosen so that no chunk is
+    too large; ``chunk`` gives an expression for all keys instead, which must not decrease
+    in ``order``. ``ties`` order rows of equal time.
     """
     return _carry(df, column, keys, order, ties, chunk, True)
 

@@ -111,7 +111,7 @@ def test_fixed_and_statistics(spark):
         impute.fill_statistic(df, {"x": "magic"})
 
 
-@pytest.mark.parametrize("chunk, most", [("hour", 0), ("year", 0), (None, 5_000_000), (None, 3), (None, 0)])
+@pytest.mark.parametrize("chunk, most", [("hour", 0), ("year", 0), (None, 5_000_000), (None, 100), (None, 3), (None, 0)])
 def test_fills_in_order_equal_pandas(spark, monkeypatch, chunk, most):
     monkeypatch.setattr(impute, "MAX_CHUNK_ROWS", most)
     rng = random.Random(5)
@@ -131,10 +131,12 @@ def test_fills_in_order_equal_pandas(spark, monkeypatch, chunk, most):
         assert got.columns == df.columns
 
 
-def test_fill_needs_a_key_and_a_chunk(spark):
+def test_fill_needs_a_key_and_a_chunk(spark, monkeypatch):
     df = spark.createDataFrame([(1, 1, None)], "k int, at int, v int")
     with pytest.raises(ValueError, match="key"):
         impute.fill_forward(df, "v", [], "at")
+    assert impute.fill_forward(df, "v", ["k"], "at").count() == 1
+    monkeypatch.setattr(impute, "MAX_CHUNK_ROWS", 0)
     with pytest.raises(ValueError, match="chunk"):
         impute.fill_forward(df, "v", ["k"], "at")
     assert impute.fill_forward(df, "v", ["k"], "at", chunk=F.floor(F.col("at") / 10)).count() == 1
