@@ -187,7 +187,7 @@ def _findings(df: DataFrame, expected: Expectations) -> DataFrame:
         rules.append((labels, condition))
 
     for name, wanted in expected.types.items():
-        if stored[name] != T._parse_datatype_string(wanted).simpleString():
+        if stored[name] != T.DataType.fromDDL(wanted).simpleString():
             note = f"stored as {stored[name]}, expected {wanted}"
             rule(TYPES, name, "wrong type", note, does_not_convert(df[name], wanted))
     for name, words in expected.keywords.items():
