@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import blocks, one_array, prepare, stored, words_of
+from .text import blocks, one_array, prepare, ragged, stored, words_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -54,13 +54,6 @@ class WordIds:
         return [known[s[0]] if len(s) == 1 else np.concatenate([known[s[0]], known[s[1]]]) for s in parts]
 
 
-def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The slices ``values[start : start + length]``, end to end."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
-
-
 def pieces(
     documents: DataFrame,
     tokenizer: str,
