@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, lines, packing, suffix, tokencounts, warc
+from . import ann, decontam, jaccard, langid, lines, lm, packing, suffix, tokencounts, warc
 from .text import bucket_of, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,10 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffix.dedup_strings(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    scored = lm.scores(documents, bucket_of(documents["doc_id"], 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
