@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import blocks, mix, one_array, prepare, stored, sums, word_hashes, words_of
+from .text import blocks, mix, one_array, packed_numbers, prepare, stored, sums, unpacked_numbers, word_hashes, words_of
 
 # Discount and strength of the context restaurants; the root has discount 0 and strength V + 1.
 DISCOUNT, STRENGTH = 0.75, 1.0
@@ -25,30 +25,6 @@ WORD_BITS = 40
 START, END = 1, 2  # hashes of the beginning and the end of a text
 
 
-# Packed arrays
-
-
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers, byte plane by byte plane, compressed."""
-    parts = []
-    for array in arrays:
-        array = np.ascontiguousarray(array, np.uint64)
-        raw = array.view(np.uint8).reshape(-1, 8).T.tobytes()
-        small = pa.compress(raw, codec="zstd", asbytes=True)
-        parts.append(np.array([len(array), len(small)], np.int64).tobytes() + small)
-    return b"".join(parts)
-
-
-def unpacked(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        n, size = np.frombuffer(data, np.int64, 2, at).tolist()
-        raw = pa.decompress(data[at + 16 : at + 16 + size], decompressed_size=8 * n, codec="zstd", asbytes=True)
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1))
-        at += 16 + size
-    return out
-
-
 def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=np.uint64(0))
 
@@ -225,12 +201,12 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
                 chosen = order[bounds[bucket] : bounds[bucket + 1]]
                 contexts, n = np.unique(left[chosen], return_counts=True)
                 words = block.hashes[right[chosen]] >> np.uint64(64 - WORD_BITS)
-                payload = packed(steps(block.hashes[contexts]), n, words, counts[chosen])
+                payload = packed_numbers(steps(block.hashes[contexts]), n, words, counts[chosen])
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number]), pa.array([block.check]), pa.array([payload], pa.binary())], ["bucket", "block", "check", "payload"])
 
     def seat(table):
         bucket = table.column("bucket")[0].as_py()
-        asked = [unpacked(p.as_py()) for p in table.column("payload")]
+        asked = [unpacked_numbers(p.as_py()) for p in table.column("payload")]
         contexts = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
         left = np.concatenate([np.repeat(c, a[1].astype(np.int64)) for c, a in zip(contexts, asked)])
         right = np.concatenate([a[2] for a in asked])
@@ -254,13 +230,13 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
             mine = own[at : at + len(a[2])]
             at += len(a[2])
             rows_ = np.searchsorted(names, own_contexts)
-            send(0, number, check, packed(total[mine], *[t[mine] for t in tables], *[p[rows_] for p in per_context]))
+            send(0, number, check, packed_numbers(total[mine], *[t[mine] for t in tables], *[p[rows_] for p in per_context]))
         per_word = [np.bincount(word, weights=t, minlength=len(known)).astype(np.uint64) for t in tables]
         dealt = spread(known << np.uint64(64 - WORD_BITS), buckets)
         bounds = np.searchsorted(dealt, np.arange(buckets + 1, dtype=np.uint64))
         for to in np.flatnonzero(np.diff(bounds)).tolist():
             piece = slice(bounds[to], bounds[to + 1])
-            send(1, to, 0, packed(steps(known[piece]), *[p[piece] for p in per_word]))
+            send(1, to, 0, packed_numbers(steps(known[piece]), *[p[piece] for p in per_word]))
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
 
@@ -274,28 +250,28 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
             bounds = np.searchsorted(spread(block.hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))
             for bucket in np.flatnonzero(np.diff(bounds)).tolist():
                 piece = slice(bounds[bucket], bounds[bucket + 1])
-                payload = packed(steps(block.hashes[piece]), counts[piece])
+                payload = packed_numbers(steps(block.hashes[piece]), counts[piece])
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([number]), pa.array([block.check]), pa.array([payload], pa.binary())], ["to", "block", "check", "payload"])
 
     def count(key, asked_, tables_):
         bucket = key[0].as_py()
-        asked = [unpacked(p.as_py()) for p in asked_.column("payload")]
+        asked = [unpacked_numbers(p.as_py()) for p in asked_.column("payload")]
         hashes = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
         known, own = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
         total = np.bincount(own, weights=np.concatenate([a[1] for a in asked]) if asked else None, minlength=len(known)).astype(np.int64)
         short = known >> np.uint64(64 - WORD_BITS)
         customers = np.zeros((SAMPLES, len(known)), np.int64)
         for payload in tables_.column("payload"):
-            names, *tables = unpacked(payload.as_py())
+            names, *tables = unpacked_numbers(payload.as_py())
             place = np.searchsorted(short, np.cumsum(names, dtype=np.uint64))
             for s in range(SAMPLES):
                 customers[s, place] += tables[s].astype(np.int64)
-        out = {"kind": [3], "to": [0], "part": [bucket], "check": [0], "payload": [packed([total.sum(), (total > 0).sum(), *customers.sum(axis=1)])]}
+        out = {"kind": [3], "to": [0], "part": [bucket], "check": [0], "payload": [packed_numbers([total.sum(), (total > 0).sum(), *customers.sum(axis=1)])]}
         at = 0
         for number, check, names in zip(asked_.column("block").to_pylist(), asked_.column("check").to_pylist(), hashes):
             mine = own[at : at + len(names)]
             at += len(names)
-            for name, value in zip(out, (2, number, bucket, check, packed(total[mine], *[c[mine] for c in customers]))):
+            for name, value in zip(out, (2, number, bucket, check, packed_numbers(total[mine], *[c[mine] for c in customers]))):
                 out[name].append(value)
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
@@ -304,7 +280,7 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
     words = stored(words.groupBy("to").cogroup(seats.where("kind = 1").groupBy("to")).applyInArrow(count, shape), "words")
     whole = np.zeros(2 + SAMPLES)
     for row in words.where("kind = 3").select("payload").collect():  # one short row per bucket
-        whole += unpacked(bytes(row["payload"]))[0].astype(float)
+        whole += unpacked_numbers(bytes(row["payload"]))[0].astype(float)
     n_train, n_words, customers_all = int(whole[0]), int(whole[1]), whole[2:]
     kind = documents.schema[id_column].dataType
     schema = T.StructType([T.StructField("id", kind)]).add("train", "boolean")
@@ -328,7 +304,7 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
             if any(c != check for c in answers.column("check").to_pylist()):
                 raise ValueError("the documents were not read in the same order twice; store them first")
             found = {(k, p): i for i, (k, p) in enumerate(zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist()))}
-            get = lambda k, p: unpacked(answers.column("payload")[found[k, p]].as_py())  # noqa: B023,E731
+            get = lambda k, p: unpacked_numbers(answers.column("payload")[found[k, p]].as_py())  # noqa: B023,E731
             seen = np.zeros(len(block.hashes), np.int64)
             customers = np.zeros((SAMPLES, len(block.hashes)))
             bounds = np.searchsorted(spread(block.hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))

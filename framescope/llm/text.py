@@ -170,3 +170,24 @@ def shingles(hashed: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         total = mix(total + hashed[i : i + n] + np.uint64(i + 1)) if i else mix(hashed[:n])
     return total
+
+
+def packed_numbers(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, byte plane by byte plane, compressed."""
+    parts = []
+    for array in arrays:
+        array = np.ascontiguousarray(array, np.uint64)
+        raw = array.view(np.uint8).reshape(-1, 8).T.tobytes()
+        small = pa.compress(raw, codec="zstd", asbytes=True)
+        parts.append(np.array([len(array), len(small)], np.int64).tobytes() + small)
+    return b"".join(parts)
+
+
+def unpacked_numbers(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, size = np.frombuffer(data, np.int64, 2, at).tolist()
+        raw = pa.decompress(data[at + 16 : at + 16 + size], decompressed_size=8 * n, codec="zstd", asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1))
+        at += 16 + size
+    return out
