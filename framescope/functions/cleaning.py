@@ -15,13 +15,21 @@ TRUE_TOKENS = ("true", "1", "yes")
 UNKNOWN = "Unknown"
 
 # "Sun Sep 21 10:00:00 +0000 2025": the weekday name is cut off because the parser rejects it.
-WEEKDAY_PREFIX = 4
 WEEKDAY_STYLE = "MMM dd HH:mm:ss Z yyyy"
 
 
+# White space at either end, with the separators beyond ASCII and the information separators.
+EDGES = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+
+
+def strip(value: Column) -> Column:
+    """Text without white space (of any kind) at either end."""
+    return F.regexp_replace(value.cast("string"), EDGES, "")
+
+
 def is_true(value: Column) -> Column:
     """Text, number or boolean to boolean; a missing value is false."""
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin(*TRUE_TOKENS), F.lit(False))
+    return F.coalesce(F.lower(strip(value)).isin(*TRUE_TOKENS), F.lit(False))
 
 
 def parse_utc(value: Column, dtype: T.DataType | None = None, formats: Sequence[str] = ()) -> Column:
@@ -35,10 +43,10 @@ def parse_utc(value: Column, dtype: T.DataType | None = None, formats: Sequence[
         return value
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return value.cast("timestamp_ntz")
-    text = F.trim(value.cast("string"))
+    text = strip(value)
     # Spark also reads a bare time or a bare year; neither is a date here.
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
-    weekday = F.try_to_timestamp(F.substring(text, WEEKDAY_PREFIX + 1, 1000), F.lit(WEEKDAY_STYLE))
+    weekday = F.try_to_timestamp(F.regexp_replace(text, r"^\S+ ", ""), F.lit(WEEKDAY_STYLE))
     extra = [F.try_to_timestamp(text, F.lit(pattern)) for pattern in formats]
     return F.coalesce(iso, weekday, *extra).cast("timestamp_ntz")
 
@@ -46,7 +54,9 @@ def parse_utc(value: Column, dtype: T.DataType | None = None, formats: Sequence[
 def id_text(value: Column, dtype: T.DataType) -> Column:
     """Identifier to text without a decimal part; NULL, NaN and "nan" texts become NULL."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(value), value.try_cast("decimal(38,0)").cast("string"))
+        # A fraction, or a number beyond 38 digits, stays as it is written: other ids must not merge.
+        whole = F.when(F.floor(value.cast("double")) == value, value.try_cast("decimal(38,0)"))
+        return F.when(~F.isnan(value), F.coalesce(whole.cast("string"), value.cast("string")))
     text = value.cast("string")
     whole = F.regexp_replace(text, r"^([0-9]+)\.0+$", "$1")
     return F.when(~text.isin("nan", "<NA>"), whole)
@@ -54,7 +64,9 @@ def id_text(value: Column, dtype: T.DataType) -> Column:
 
 def to_number(value: Column) -> Column:
     """Value to double; what is not a number (NaN included) becomes NULL."""
-    number = value.try_cast("double")
+    # Spark would also read the type suffixes of "1d" and "2f".
+    suffixed = value.cast("string").rlike(r"[0-9.][dDfF]\s*$")
+    number = F.when(~suffixed, value.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 
@@ -79,7 +91,7 @@ def flag_label(flag: Column, when_true: str, when_false: str) -> Column:
 
 def category_text(value: Column, unknown: str = UNKNOWN) -> Column:
     """Trimmed text; missing and blank become ``unknown``."""
-    return F.coalesce(F.nullif(F.trim(value.cast("string")), F.lit("")), F.lit(unknown))
+    return F.coalesce(F.nullif(strip(value), F.lit("")), F.lit(unknown))
 
 
 def recode(value: Column, invalid: Iterable[str], label: str = UNKNOWN) -> Column:

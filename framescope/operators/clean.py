@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as fx
@@ -95,7 +95,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     carried = [name for name in order if name not in keys] + rest
     if not carried:
         return df.select(*keys).distinct()
-    row: Column = F.min(F.struct(*carried)).alias("_row")
+    maps = [name for name in carried if "map<" in df.schema[name].dataType.simpleString()]
+    if maps:  # a map cannot be compared; its text breaks ties
+        place = F.struct(*[df[name].cast("string").alias(name) if name in maps else df[name] for name in carried])
+        row = F.min_by(F.struct(*carried), place).alias("_row")
+    else:
+        row = F.min(F.struct(*carried)).alias("_row")
     kept = df.groupBy(*keys).agg(row)
     return kept.select(
         *[F.col(name) if name in keys else F.col("_row")[name].alias(name) for name in df.columns]

@@ -140,6 +140,10 @@ def metric_profile(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
         (0.25, 0.5, 0.75),
         {"n_numeric": number.isNotNull(), "n_zero": number == 0},
     )
+    # Every metric has its row, also where the table has none.
+    spine = df.sparkSession.createDataFrame([(m,) for m in dict.fromkeys(metrics)], "metric string")
+    summary = spine.join(summary, "metric", "left")
+    summary = summary.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_numeric", "n_zero", "n")})
     return summary.select(
         "metric",
         "n_numeric",

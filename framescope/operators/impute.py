@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +18,7 @@ from ..functions.quantiles import summarise
 from ..functions.sizing import null_safe_join, settle
 from .profile import missing_report
 
-# Units of time tried in turn, and the rows of one key that one task should sort at most.
-CHUNK_UNITS = ("day", "hour", "minute", "second")
+# Rows of one key that one task should sort, about.
 MAX_CHUNK_ROWS = 5_000_000
 
 
@@ -89,7 +88,7 @@ def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
     """Replace missing values by ``mean``, ``median`` or ``mode`` of the column.
 
     The median is exact. The mode is the most frequent value, the smallest one of a tie. A
-    whole-number column keeps its type, so a mean is cut to a whole number. One scan serves
+    column of whole numbers becomes double by a mean or median. One scan serves
     all means, one all modes, and at most two all medians.
     """
     require_columns(df, strategies)
@@ -133,37 +132,38 @@ def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
     if modes:
         row = _modes(df, modes).select(F.struct(*modes)).scalar()
         values |= {name: row[name] for name in modes}
-    return df.withColumns({name: _filled(df, name, value) for name, value in values.items()})
+    exact = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+    def filled(name: str, value: Column) -> Column:
+        if strategies[name] != "mode" and isinstance(df.schema[name].dataType, exact):
+            return F.coalesce(df[name].cast("double"), value)
+        return _filled(df, name, value)
+
+    return df.withColumns({name: filled(name, value) for name, value in values.items()})
 
 
 def _chunk_of_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: str
+    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], most: int
 ) -> tuple[DataFrame, Column | None]:
-    """Mark the keys with more rows than one task should sort, and cut only those in time.
+    """Cut the keys with more rows than one task should sort, at places taken from a sample.
 
-    Returns the frame with ``_hot`` and the chunk expression, which is NULL for all other
-    keys; or the frame and ``None`` if no key is hot. The unit of time is the coarsest in
-    which no chunk is too large; each try returns a single number.
+    A place is the struct of ``order`` and ``ties``, so equal times are cut by their ties, and
+    any type that can be ordered will do. Every ``most``-th place, by a hash, is a boundary; the
+    chunk of a row is the number of boundaries of its key up to the row. Returns the frame and
+    the chunk expression (0 for keys that are not cut), or ``None`` if no key is large.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot, rows = settle(sizes.where(F.col("_n") > MAX_CHUNK_ROWS).select(*keys))
+    hot, rows = settle(sizes.where(F.col("_n") > most).select(*keys))
     if rows is not None and not rows:
         return df, None
-    if not isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        raise ValueError(f"give a chunk expression: a key is too large, and {order} is not a time")
-    marked = null_safe_join(
-        df, hot.withColumn("_hot", F.lit(True)), keys, "left", broadcast_right=rows is not None
-    )
-    for unit in CHUNK_UNITS[:-1]:
-        fullest = (
-            marked.where("_hot")
-            .groupBy(*keys, F.date_trunc(unit, order).alias("_c"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .agg(F.max("_n"))
-        )
-        if fullest.first()[0] <= MAX_CHUNK_ROWS:
-            return marked, F.when(F.col("_hot"), F.date_trunc(unit, order))
-    return marked, F.when(F.col("_hot"), F.date_trunc(CHUNK_UNITS[-1], order))
+    place = F.struct(order, *ties)
+    sampled = df.where(F.pmod(F.xxhash64(order, *ties), F.lit(max(1, most))) == 0)
+    marked = null_safe_join(sampled, hot, keys, "inner", broadcast_right=rows is not None)
+    bounds = marked.groupBy(*keys).agg(F.array_sort(F.collect_set(place)).alias("_bounds"))
+    bounds, few = settle(bounds)
+    cut = null_safe_join(df, bounds, keys, "left", broadcast_right=few is not None)
+    chunk = F.size(F.filter(F.coalesce("_bounds", F.array().cast(bounds.schema["_bounds"].dataType)), lambda b: b <= place))
+    return cut, chunk
 
 
 def _carry(
@@ -173,6 +173,7 @@ def _carry(
     order: str,
     ties: Sequence[str],
     chunk: Column | None,
+    most: int | None,
     forward: bool,
 ) -> DataFrame:
     require_columns(df, [column, *keys, order, *ties])
@@ -183,7 +184,7 @@ def _carry(
     value = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
     base = df.withColumn("_v", value)
     if chunk is None:
-        base, chunk = _chunk_of_hot_keys(base, keys, order)
+        base, chunk = _chunk_of_hot_keys(base, keys, order, ties, MAX_CHUNK_ROWS if most is None else most)
     if chunk is None:
         whole = Window.partitionBy(*keys).orderBy(*sequence)
         upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -222,16 +223,17 @@ def fill_forward(
     order: str,
     ties: Sequence[str] = (),
     chunk: Column | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Replace a missing value by the last one before it within the key.
 
-    A key with more rows than one task should sort is cut into chunks of time, filled inside
-    each chunk, and the last value of each chunk is carried on. So a key that holds a third
-    of the table is spread over its chunks. The unit of time is chosen so that no chunk is
-    too large; ``chunk`` gives an expression for all keys instead, which must not decrease
-    in ``order``. ``ties`` order rows of equal time.
+    A key with more than ``chunk_rows`` rows (5 million unless given) is cut at places of a hash
+    sample, filled inside each chunk, and the last value of each chunk is carried on. So a key that
+    holds a third of the table is spread over its chunks, at any size and for any type of
+    ``order``. ``chunk`` gives an expression for all keys instead, which must not decrease in
+    ``order``. ``ties`` order rows of equal ``order``; rows that agree in both have no order.
     """
-    return _carry(df, column, keys, order, ties, chunk, True)
+    return _carry(df, column, keys, order, ties, chunk, chunk_rows, True)
 
 
 def fill_backward(
@@ -241,15 +243,16 @@ def fill_backward(
     order: str,
     ties: Sequence[str] = (),
     chunk: Column | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Replace a missing value by the first one after it within the key."""
-    return _carry(df, column, keys, order, ties, chunk, False)
+    return _carry(df, column, keys, order, ties, chunk, chunk_rows, False)
 
 
 def fill_from_donors(
     df: DataFrame, column: str, match: Sequence[str], donors: DataFrame, order: str
 ) -> DataFrame:
-    """Cold deck: take the value of the first donor (by ``order``) that agrees on ``match``.
+    """Cold deck: take the value of the first donor (by ``order``, then value) that agrees on ``match``.
 
     One donor per match key is chosen by an aggregation that combines before the shuffle.
     Whether the donors are broadcast depends on their checked number; a shuffled join with
@@ -258,7 +261,7 @@ def fill_from_donors(
     require_columns(df, [column, *match])
     require_columns(donors, [column, *match, order])
     given = donors.where(~is_missing(donors[column], donors.schema[column].dataType))
-    chosen, rows = settle(given.groupBy(*match).agg(F.min_by(column, order).alias("_donor")))
+    chosen, rows = settle(given.groupBy(*match).agg(F.min(F.struct(F.col(order).alias("o"), F.col(column).alias("v")))["v"].alias("_donor")))
     joined = null_safe_join(df, chosen, match, "left", broadcast_right=rows is not None)
     return joined.withColumn(column, _filled(df, column, F.col("_donor"))).select(*df.columns)
 
@@ -272,16 +275,25 @@ def fill_by_model(df: DataFrame, column: str, features: Sequence[str], kind: str
     """Fit a model on the complete rows and predict the missing values.
 
     ``kind`` is ``regression`` (a linear model; the column becomes double) or
-    ``classification`` (a logistic model for whole-number classes from 0). A row with a
-    missing feature is not filled.
+    ``classification`` (a logistic model; classes of any type, their number bounded by what a
+    driver can list). A row with a missing feature is not filled.
     """
     require_columns(df, [column, *features])
     if kind not in ("regression", "classification"):
         raise ValueError(f"unknown kind: {kind}")
     numbers = [f"_f{i}" for i in range(len(features))]
-    ready = df.withColumns({n: df[f].cast("double") for n, f in zip(numbers, features)}).withColumn(
-        "_label", F.when(~is_missing(df[column], df.schema[column].dataType), df[column]).cast("double")
-    )
+    known = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
+    ready = df.withColumns({n: df[f].cast("double") for n, f in zip(numbers, features)})
+    labels: list[str] = []
+    if kind == "regression":
+        ready = ready.withColumn("_label", known.cast("double"))
+    else:
+        ready = ready.withColumn("_class", known.cast("string"))
+        indexer = StringIndexer(inputCol="_class", outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
+        indexed = indexer.fit(ready.where(F.col("_class").isNotNull()))
+        labels = list(indexed.labels)
+        entries = [F.lit(x) for i, label in enumerate(labels) for x in (label, float(i))]
+        ready = ready.withColumn("_label", F.try_element_at(F.create_map(*entries), F.col("_class")))
     assembler = VectorAssembler(inputCols=numbers, outputCol="_features", handleInvalid="skip")
     complete = assembler.transform(ready.where(F.col("_label").isNotNull()))
     estimator = LinearRegression if kind == "regression" else LogisticRegression
@@ -297,5 +309,6 @@ def fill_by_model(df: DataFrame, column: str, features: Sequence[str], kind: str
     keep = VectorAssembler(inputCols=numbers, outputCol="_features", handleInvalid="keep")
     scored = model.transform(keep.transform(ready))
     usable = F.forall(vector_to_array("_features"), lambda x: ~F.isnan(x))
-    filled = F.coalesce("_label", F.when(usable, F.col("_prediction")))
+    named = F.get(F.array(*[F.lit(label) for label in labels]), F.col("_prediction").cast("int"))
+    filled = F.coalesce("_class", F.when(usable, named))
     return scored.withColumn(column, filled.cast(df.schema[column].dataType)).select(*df.columns)

@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import percent, short_key
+from ..functions.cleaning import is_missing, percent, short_key, strip
 from ..functions.guards import require_columns
 from .distribution import top_values, value_counts
 
@@ -42,13 +43,13 @@ class Expectations:
 def has_keyword(value: Column, keywords: Sequence[str]) -> Column:
     """Whether the text contains a keyword, ignoring case; plain text, no patterns. NULL is false."""
     lowered = F.lower(value.cast("string"))
-    hits = [lowered.contains(keyword) for keyword in keywords]
+    hits = [lowered.contains(keyword.lower()) for keyword in keywords]
     return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(False))
 
 
 def is_blank(value: Column) -> Column:
     """Whether the text is there but only white space."""
-    return F.coalesce(F.trim(value.cast("string")) == F.lit(""), F.lit(False))
+    return F.coalesce(strip(value) == F.lit(""), F.lit(False))
 
 
 def outside(value: Column, allowed: Sequence) -> Column:
@@ -65,9 +66,24 @@ def is_float_id(value: Column, dtype: T.DataType) -> Column:
     return F.lit(False)
 
 
-def does_not_convert(value: Column, expected: str) -> Column:
-    """Whether the value is there but cannot be read as the expected type."""
-    return value.isNotNull() & value.try_cast(expected).isNull()
+def does_not_convert(df: DataFrame, name: str, expected: str) -> Column:
+    """Whether the value is there but cannot be read as the expected type.
+
+    Where Spark has no cast between two types, the value's text is read.
+    """
+    value = df[name]
+    try:
+        df.select(value.try_cast(expected))
+        converted = value.try_cast(expected)
+    except AnalysisException:
+        converted = value.cast("string").try_cast(expected)
+    return value.isNotNull() & converted.isNull()
+
+
+def same_type(stored: T.DataType, expected: T.DataType) -> bool:
+    """Whether two types differ in their notation only: times with and without zone, texts of any length."""
+    texts, times = (T.StringType, T.CharType, T.VarcharType), (T.TimestampType, T.TimestampNTZType)
+    return stored == expected or any(isinstance(stored, k) and isinstance(expected, k) for k in (texts, times))
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -120,7 +136,7 @@ def type_conformance(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
         [
             (
                 {"column": name, "stored_type": stored[name], "expected_type": wanted},
-                does_not_convert(df[name], wanted),
+                does_not_convert(df, name, wanted),
             )
             for name, wanted in expected.items()
         ],
@@ -187,9 +203,9 @@ def _findings(df: DataFrame, expected: Expectations) -> DataFrame:
         rules.append((labels, condition))
 
     for name, wanted in expected.types.items():
-        if stored[name] != T.DataType.fromDDL(wanted).simpleString():
+        if not same_type(df.schema[name].dataType, T.DataType.fromDDL(wanted)):
             note = f"stored as {stored[name]}, expected {wanted}"
-            rule(TYPES, name, "wrong type", note, does_not_convert(df[name], wanted))
+            rule(TYPES, name, "wrong type", note, does_not_convert(df, name, wanted))
     for name, words in expected.keywords.items():
         rule(VALUES, name, "invalid values", "contains a listed keyword", has_keyword(df[name], words))
     for name in expected.not_blank:
@@ -284,7 +300,7 @@ def missing_explained(df: DataFrame, target: str, flag: str) -> DataFrame:
     """
     require_columns(df, [target, flag])
     groups = df.groupBy(F.col(flag).alias("flag")).agg(
-        F.count_if(F.col(target).isNull()).alias("n_missing"), F.count(F.lit(1)).alias("rows")
+        F.count_if(is_missing(F.col(target), df.schema[target].dataType)).alias("n_missing"), F.count(F.lit(1)).alias("rows")
     )
     full, none = F.col("n_missing") == F.col("rows"), F.col("n_missing") == 0
     explained = groups.agg(F.every(full | none) & F.some(full) & F.some(none)).scalar()

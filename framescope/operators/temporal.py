@@ -115,6 +115,8 @@ def volume_pivot(
         names = [row["series"] for row in best.collect()]
     if not names:
         return long.select("period").distinct()
+    if "period" in names:
+        raise ValueError("a series is named 'period', as the key column is; rename it by labels")
     return long.groupBy("period").pivot("series", list(names)).agg(F.sum("n")).na.fill(0, list(names))
 
 

@@ -14,7 +14,7 @@ from .catalog import Tables, query
     "bool_normalise",
     """
     SELECT d.doc_id,
-           coalesce(lower(trim(CASE WHEN l.quality = 1 AND d.lang = 'en' THEN ' YES '
+           coalesce(lower(trim(CASE WHEN l.quality = 1 AND d.lang = 'en' THEN 'YES'
                                     WHEN l.quality = 1 AND d.lang = 'fr' THEN 'True'
                                     WHEN l.quality = 1 THEN '1'
                                     WHEN l.toxic = 1 THEN '1.0'
@@ -25,7 +25,7 @@ from .catalog import Tables, query
 def bool_normalise(t: Tables) -> DataFrame:
     good = F.col("quality") == 1
     raw = (
-        F.when(good & (F.col("lang") == "en"), " YES ")
+        F.when(good & (F.col("lang") == "en"), "\t\u00a0YES\n")
         .when(good & (F.col("lang") == "fr"), "True")
         .when(good, "1")
         .when(F.col("toxic") == 1, "1.0")
@@ -65,6 +65,7 @@ def parse_times(t: Tables) -> DataFrame:
     """
     SELECT event_id,
            CASE WHEN event_type = 'error' THEN NULL
+                WHEN event_type = 'view' THEN event_id::VARCHAR || '.5'
                 ELSE ((972890161400000 + event_id)::BIGINT)::VARCHAR END AS id
     FROM events
     """,
@@ -72,7 +73,7 @@ def parse_times(t: Tables) -> DataFrame:
 def ids_to_text(t: Tables) -> DataFrame:
     number = (F.lit(972890161400000) + F.col("event_id")).cast("double")
     damaged = t.events.select(
-        "event_id", F.when(F.col("event_type") != "error", number).alias("id")
+        "event_id", F.when(F.col("event_type") == "view", F.col("event_id") + 0.5).when(F.col("event_type") != "error", number).alias("id")
     )
     return clean.ids_to_text(damaged, ["id"])
 
@@ -99,7 +100,7 @@ def rename_known(t: Tables) -> DataFrame:
     "coerce_numbers",
     """
     SELECT p_partkey,
-           TRY_CAST(CASE p_type WHEN 'ECONOMY' THEN p_name WHEN 'PROMO' THEN NULL
+           TRY_CAST(CASE p_type WHEN 'ECONOMY' THEN p_name WHEN 'PROMO' THEN NULL WHEN 'LARGE' THEN NULL
                                 ELSE p_size::VARCHAR END AS DOUBLE) AS v
     FROM part
     """,
@@ -108,7 +109,7 @@ def coerce_numbers(t: Tables) -> DataFrame:
     kind = F.col("p_type")
     mixed = (
         F.when(kind == "ECONOMY", F.col("p_name"))
-        .when(kind == "LARGE", F.col("p_size").cast("string"))
+        .when(kind == "LARGE", F.concat(F.col("p_size").cast("string"), F.lit("d")))
         .when(kind != "PROMO", F.col("p_size").cast("string"))
     )
     return clean.coerce_numbers(t.part.select("p_partkey", mixed.alias("v")), ["v"])
@@ -148,8 +149,8 @@ def flag_labels(t: Tables) -> DataFrame:
 def standardise_categories(t: Tables) -> DataFrame:
     lang = F.col("lang")
     untidy = (
-        F.when(lang == "fr", "   ")
-        .when(lang == "en", F.concat(F.lit("  "), lang, F.lit(" ")))
+        F.when(lang == "fr", "\t\u00a0 \n")
+        .when(lang == "en", F.concat(F.lit("\u00a0 "), lang, F.lit("\t")))
         .when(lang != "de", lang)
     )
     return clean.standardise_categories(t.documents.select("doc_id", untidy.alias("lang")), ["lang"])

@@ -37,10 +37,17 @@ def drop_incomplete_rows(t: Tables) -> DataFrame:
     return impute.drop_incomplete_rows(holes(t))
 
 
-@query("drop_sparse_columns", f"SELECT doc_id, lang, n_chars, source FROM ({HOLES_SQL}) WHERE NOT isnan(n_chars)")
+@query(
+    "drop_sparse_columns",
+    f"""
+    SELECT doc_id, lang, source, isnan(n_chars) AS no_size,
+           CASE WHEN isnan(n_chars) THEN 0.0 ELSE n_chars END AS n_chars
+    FROM ({HOLES_SQL})
+    """,
+)
 def drop_sparse_columns(t: Tables) -> DataFrame:
     kept = impute.drop_sparse_columns(holes(t), limit_pct=20.0)
-    return kept.where(~F.isnan("n_chars"))
+    return kept.withColumn("no_size", F.isnan("n_chars")).withColumn("n_chars", F.nanvl("n_chars", F.lit(0.0)))
 
 
 @query(
@@ -104,6 +111,19 @@ def fill_forward(t: Tables) -> DataFrame:
     return impute.fill_forward(gaps(t), "value", ["user_id"], "ts", ["event_id"])
 
 
+@query(
+    "fill_forward_chunked",
+    f"""
+    SELECT event_id, ts, user_id,
+           last_value(value IGNORE NULLS) OVER (
+               PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS value
+    FROM ({GAPS_SQL})
+    """,
+)
+def fill_forward_chunked(t: Tables) -> DataFrame:
+    return impute.fill_forward(gaps(t), "value", ["user_id"], "event_id", chunk_rows=4)
+
+
 @query(
     "fill_backward",
     f"""

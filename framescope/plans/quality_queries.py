@@ -16,7 +16,7 @@ ALLOWED_LANGUAGES = ["en", "de"]
 # Documents in which a language is white space, and an id that was stored as a decimal.
 UNTIDY_SQL = """
     SELECT doc_id, text, source,
-           CASE WHEN lang = 'es' THEN '  ' ELSE lang END AS lang,
+           CASE WHEN lang = 'es' THEN chr(9) || chr(160) || chr(10) || ' ' ELSE lang END AS lang,
            CASE WHEN source = 'src5' THEN NULL ELSE doc_id::DOUBLE END AS ref,
            CASE WHEN lang = 'fr' THEN source ELSE n_chars::VARCHAR END AS size_text
     FROM documents
@@ -29,7 +29,7 @@ def untidy(t: Tables) -> DataFrame:
         "doc_id",
         "text",
         "source",
-        F.when(d.lang == "es", "  ").otherwise(d.lang).alias("lang"),
+        F.when(d.lang == "es", "\t\u00a0\n ").otherwise(d.lang).alias("lang"),
         F.when(d.source != "src5", d.doc_id.cast("double")).alias("ref"),
         F.when(d.lang == "fr", d.source).otherwise(d.n_chars.cast("string")).alias("size_text"),
     )
@@ -38,7 +38,7 @@ def untidy(t: Tables) -> DataFrame:
 EXPECTED = quality.Expectations(
     keys=["text"],
     types={"size_text": "bigint", "doc_id": "bigint"},
-    keywords={"source": [w.lower() for w in BAD_SOURCES]},
+    keywords={"source": BAD_SOURCES},
     not_blank=["lang", "source"],
     domains={"lang": ALLOWED_LANGUAGES},
     ids=["ref"],
@@ -110,7 +110,7 @@ def type_conformance(t: Tables) -> DataFrame:
     """,
 )
 def invalid_values(t: Tables) -> DataFrame:
-    words = {"source": [w.lower() for w in BAD_SOURCES], "text": BAD_WORDS}
+    words = {"source": BAD_SOURCES, "text": BAD_WORDS}
     return quality.invalid_values(t.documents, words).withColumn("pct", F.round("pct", 6))
 
 
@@ -123,14 +123,14 @@ def invalid_values(t: Tables) -> DataFrame:
     """,
 )
 def top_invalid(t: Tables) -> DataFrame:
-    return quality.top_invalid(t.documents, "source", [w.lower() for w in BAD_SOURCES])
+    return quality.top_invalid(t.documents, "source", BAD_SOURCES)
 
 
 @query(
     "blank_strings",
     f"""
     WITH u AS ({UNTIDY_SQL}),
-    c AS (SELECT count(*) AS rows, count(*) FILTER (trim(lang) = '') AS a,
+    c AS (SELECT count(*) AS rows, count(*) FILTER (regexp_full_match(lang, '[\\x09-\\x0D\\x{{A0}} ]+')) AS a,
                  count(*) FILTER (trim(source) = '') AS b FROM u)
     SELECT 'lang' AS "column", a AS n, rows, round(a * 100.0::DOUBLE / rows, 6) AS pct FROM c
     UNION ALL
@@ -188,7 +188,7 @@ EXCEPTIONS_SQL = f"""
                (count(*) - count(DISTINCT text))::BIGINT AS dup,
                count(*) FILTER (TRY_CAST(size_text AS BIGINT) IS NULL) AS typ,
                count(*) FILTER (contains(lower(source), 'src1') OR contains(lower(source), 'src7')) AS kw,
-               count(*) FILTER (trim(lang) = '') AS blank,
+               count(*) FILTER (regexp_full_match(lang, '[\\x09-\\x0D\\x{{A0}} ]+')) AS blank,
                count(*) FILTER (lang NOT IN ('en', 'de')) AS dom,
                count(ref) AS ids
         FROM u

@@ -35,14 +35,19 @@ def volume_by_week(t: Tables) -> DataFrame:
 @query(
     "volume_pivot",
     f"""
-    SELECT period, coalesce(sum(n) FILTER (series = 'signup'), 0)::BIGINT AS signup,
+    SELECT period, coalesce(sum(n) FILTER (series = 'click'), 0)::BIGINT AS click,
            coalesce(sum(n) FILTER (series = 'error'), 0)::BIGINT AS error,
+           coalesce(sum(n) FILTER (series = 'purchase'), 0)::BIGINT AS purchase,
+           coalesce(sum(n) FILTER (series = 'signup'), 0)::BIGINT AS signup,
+           coalesce(sum(n) FILTER (series = 'view'), 0)::BIGINT AS "view",
            coalesce(sum(n) FILTER (series = 'Other'), 0)::BIGINT AS "Other"
     FROM ({_volume_sql('day')}) GROUP BY 1
     """,
 )
 def volume_pivot(t: Tables) -> DataFrame:
-    return temporal.volume_pivot(t.events, "ts", "event_type")
+    return temporal.volume_pivot(
+        t.events, "ts", "event_type", names=["click", "error", "purchase", "signup", "view", "Other"]
+    )
 
 
 @query("period_totals", "SELECT date_trunc('hour', ts)::TIMESTAMP AS period, count(*) AS n FROM events GROUP BY 1")

@@ -13,19 +13,31 @@ from .readers import as_frame
 log = logging.getLogger(__name__)
 
 
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to the folder has ended, on any file system that Spark knows."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def ingest(
-    spark: SparkSession, source: str, target: str, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    source: str,
+    target: str,
+    schema: T.StructType | str | None = None,
+    infer: bool = False,
 ) -> DataFrame | None:
-    """Write ``source`` as Parquet to ``target`` unless that exists, and return the target.
+    """Write ``source`` as Parquet to ``target`` unless that is complete, and return the target.
 
+    A target without the writer's mark of success, as a broken run leaves it, is written again.
     An input that is not there is reported and gives ``None``.
     """
     try:
-        frame = as_frame(spark, source, schema)
+        frame = as_frame(spark, source, schema, infer)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         log.warning("nothing to ingest at %s", source)
         return None
-    frame.write.mode("ignore").parquet(target)
+    if not is_complete(spark, target):
+        frame.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

@@ -26,14 +26,16 @@ def read_csv(
     schema: T.StructType | str | None = None,
     infer: bool = False,
     tokens: Sequence[str] = tuple(NA_TOKENS),
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header and quoted fields that may span lines.
 
-    Such a file cannot be split, so large inputs should be ingested once (see ``ingest``).
+    Such a file cannot be split, so large inputs should be ingested once (see ``ingest``), or
+    read without ``multi_line`` where no field spans lines.
     Without a schema every column is text, unless ``infer`` asks for a scan that guesses.
     """
     reader = spark.read.options(
-        header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE"
+        header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE"
     )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
     return mark_missing(reader.csv(path), tokens)
@@ -52,24 +54,27 @@ def format_of(path: str) -> str:
 
 
 def as_frame(
-    spark: SparkSession, source: str | DataFrame, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    source: str | DataFrame,
+    schema: T.StructType | str | None = None,
+    infer: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A DataFrame as it is, or the table at a path."""
+    """A DataFrame as it is, or the table at a path; the last two are for CSV (``read_csv``)."""
     if isinstance(source, DataFrame):
         return source
     kind = format_of(source)
     if kind == "csv":
-        return read_csv(spark, source, schema)
+        return read_csv(spark, source, schema, infer, multi_line=multi_line)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.format(kind).load(source)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a freshly read table over the cores if its files give fewer tasks.
+    """Deal the rows to as many tasks as ``framescope.spread.partitions`` says; as it is by default.
 
-    For work that is heavy per row (text) on an input of a few files. An input with at
-    least one split per core, as any large one has, is returned as it is, without a
-    shuffle. Call it on a plain scan only: counting the splits of a joined frame would run it.
+    For a caller whose input is a few small files with much work per row (text). It shuffles
+    the whole rows, so it is never done unasked.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    partitions = df.sparkSession.conf.get("framescope.spread.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,18 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a single machine, as in tests) a new temporary folder
-    is made and remembered in the session.
+    Only where the setting is absent and the session runs on this machine alone, as in tests, a new
+    temporary folder is made, remembered in the session, and removed at the end of the process.
+    What a job writes to a folder that the cluster names is left to the cluster's clean-up.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("framescope.scratch.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="framescope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("framescope.scratch.dir", folder)
     return folder
 

@@ -11,7 +11,6 @@ from framescope.plans.registry import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -45,11 +44,6 @@ def check_plan(plan: str) -> None:
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
-    folder = FOLDER
-    if name == "volume_pivot":
-        # Its columns are named by the data, and its SQL names those of the larger tables.
-        folder = LARGER
-        connection = connect(folder)
-    frame = QUERIES[name](spark, folder)
+    frame = QUERIES[name](spark, FOLDER)
     check_plan(frame._jdf.queryExecution().executedPlan().toString())
     assert compare(frame, connection, ORACLES[name]) is None

@@ -131,15 +131,50 @@ def test_fills_in_order_equal_pandas(spark, monkeypatch, chunk, most):
         assert got.columns == df.columns
 
 
-def test_fill_needs_a_key_and_a_chunk(spark, monkeypatch):
+def test_fill_needs_a_key(spark):
     df = spark.createDataFrame([(1, 1, None)], "k int, at int, v int")
     with pytest.raises(ValueError, match="key"):
         impute.fill_forward(df, "v", [], "at")
-    assert impute.fill_forward(df, "v", ["k"], "at").count() == 1
-    monkeypatch.setattr(impute, "MAX_CHUNK_ROWS", 0)
-    with pytest.raises(ValueError, match="chunk"):
-        impute.fill_forward(df, "v", ["k"], "at")
-    assert impute.fill_forward(df, "v", ["k"], "at", chunk=F.floor(F.col("at") / 10)).count() == 1
+
+
+@pytest.mark.parametrize("order", ["n", "name", "day", "at"])
+def test_hot_keys_of_any_order_are_cut(spark, order):
+    """Also where all rows of the key have one day and one second."""
+    rows = [(1, i, f"{i:03d}", dt.date(2025, 1, 1), dt.datetime(2025, 1, 1), i, float(i) if i % 7 == 0 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, n int, name string, day date, at timestamp_ntz, i int, v double").repartition(4)
+    for rows_ in (5, 1_000):
+        got = impute.fill_forward(df, "v", ["k"], order, ["i"], chunk_rows=rows_)
+        assert {r["i"]: r["v"] for r in got.collect()} == {i: float(i - i % 7) for i in range(100)}
+    chunked, chunk = impute._chunk_of_hot_keys(df, ["k"], order, ["i"], 5)
+    assert chunked.select(chunk.alias("c")).distinct().count() > 3
+
+
+def test_ties_of_donors_do_not_depend_on_partitions(spark):
+    rows = [("a", 1, v) for v in (8.0, 6.0, 9.0, 7.0)] + [("a", 2, None)]
+    for parts in (1, 2, 3, 4):
+        df = spark.createDataFrame(rows, "g string, o int, v double").repartition(parts)
+        assert {r["v"] for r in impute.fill_from_similar(df, "v", ["g"], "o").where("o = 2").collect()} == {6.0}
+
+
+def test_means_of_whole_numbers_and_text_classes(spark):
+    ints = spark.createDataFrame([(1,), (2,), (2,), (None,)], "i int")
+    assert one(impute.fill_statistic(ints, {"i": "mean"}))[3][0] == pytest.approx(5 / 3)
+    rows = [(float(i), ("low" if i < 10 else "high") if i % 4 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "x double, c string")
+    got = {r["x"]: r["c"] for r in impute.fill_by_model(df, "c", ["x"], "classification").collect()}
+    assert got[0.0] == "low" and got[16.0] == "high"
+
+
+def test_white_space_types_and_keywords(spark):
+    df = spark.createDataFrame([("\t",), ("\n\u00a0",), (" x\t",), (None,)], "s string")
+    assert one(quality.blank_strings(df, ["s"]))[0][:2] == ("s", 2)
+    assert one(df.select(quality.strip(df["s"])))[2] == ("x",)
+    ids = spark.createDataFrame([(7,)], "n bigint")
+    assert one(quality.type_conformance(ids, {"n": "date"}))[0][:4] == ("n", "bigint", "date", 1)
+    times = spark.sql("select timestamp_ntz'2025-01-01 00:00:00' as at")
+    assert quality.exception_report(times, quality.Expectations(types={"at": "timestamp"})).count() == 0
+    names = spark.createDataFrame([("SRC1",), ("x",)], "s string")
+    assert one(quality.invalid_values(names, {"s": ["SRC1"]}))[0][1] == 1
 
 
 @pytest.mark.parametrize("limit", [10_000, 1])

@@ -52,6 +52,16 @@ def test_ingest_keeps_an_existing_target(spark, csv, tmp_path, caplog):
     assert "nothing to ingest" in caplog.text
 
 
+def test_broken_targets_are_written_again(spark, csv, tmp_path):
+    half = tmp_path / "half.parquet"
+    spark.range(3).write.parquet(str(half))
+    os.remove(half / "_SUCCESS")
+    assert ingest.ingest(spark, csv, str(half)).count() == 4
+    empty = tmp_path / "empty.parquet"
+    empty.mkdir()
+    assert ingest.ingest(spark, csv, str(empty), infer=True).schema["id"].dataType.simpleString() == "int"
+
+
 def test_reports_are_replaced(spark, tmp_path):
     out = str(tmp_path / "new" / "folder")
     assert sinks.base_name("data/posts.csv.gz") == "posts"
@@ -78,11 +88,11 @@ def test_guard_names_every_absent_column(spark):
         require_columns(df, ["b", "a", "c"])
 
 
-def test_spread_leaves_wide_inputs_alone(spark, tmp_path):
-    path = str(tmp_path / "t.parquet")
-    spark.range(10).coalesce(1).write.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    narrow = spark.read.parquet(path)
-    assert readers.spread(narrow).rdd.getNumPartitions() == cores
-    wide = spark.range(100, numPartitions=cores)
-    assert readers.spread(wide) is wide
+def test_spread_only_when_asked(spark):
+    narrow = spark.range(8).coalesce(1)
+    assert readers.spread(narrow).rdd.getNumPartitions() == 1
+    spark.conf.set("framescope.spread.partitions", "3")
+    try:
+        assert readers.spread(narrow).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("framescope.spread.partitions")
