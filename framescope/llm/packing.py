@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ NEARLY_FULL = (0.995, 0.98, 0.95)
 # Bins a task carries on at most; fuller ones beyond are final as they are.
 CARRIED = 4096
 # Words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 # A letter before ASCII marks is always a token border, whatever stands before the letter.
 TAIL = re.compile(r"(?s)(.*[a-zA-Zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)")
 
@@ -37,21 +38,27 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        parts = []
-        for word in words:
-            # A special token in the text is one only as a whole.
-            found = None if "<|" in word else TAIL.fullmatch(word)
-            parts.append(found.groups() if found else (word,))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = list({p for split in parts for p in split if p not in self.known})
-        for part, encoded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.known[part] = np.array(encoded.ids, dtype="<u4")
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as unsigned 32-bit numbers, end to end."""
         known = self.known
-        return [known[s[0]] if len(s) == 1 else np.concatenate([known[s[0]], known[s[1]]]) for s in parts]
+        if len(known) > REMEMBERED:
+            known.clear()
+        out = [known.get(word) for word in words]
+        new = {}
+        for i, ids in enumerate(out):
+            if ids is None:
+                word = words[i]
+                # A special token in the text is one only as a whole.
+                found = None if "<|" in word else TAIL.fullmatch(word)
+                new[i] = found.groups() if found else (word,)
+        missing = list({p for split in new.values() for p in split if p not in known})
+        for part, encoded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+            known[part] = array("I", encoded.ids).tobytes()
+        for i, split in new.items():
+            out[i] = known[split[0]] if len(split) == 1 else known[split[0]] + known[split[1]]
+        return out
 
 
 def pieces(
@@ -76,14 +83,14 @@ def pieces(
         import pyarrow.compute as pc
 
         encoder = WordIds(tokenizer)
-        for table in blocks(batches):
+        for table in blocks(batches, fill=True):
             texts = one_array(table.column("text"))
             # The tokenizer lower-cases; doing it first for A-Z leaves fewer distinct words.
             texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
             codes, offsets, words = words_of(texts, lower=False)
             ids = encoder.ids(words.to_pylist())
-            lengths = np.array([len(i) for i in ids], np.int64)
-            flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+            lengths = np.array([len(i) for i in ids], np.int64) // 4
+            flat = np.frombuffer(b"".join(ids), np.uint32)
             starts = np.cumsum(lengths) - lengths
             stream = ragged(flat, starts[codes], lengths[codes])
             before = np.concatenate([[0], np.cumsum(lengths[codes])])
