@@ -16,7 +16,8 @@ from ..functions.guards import require_columns
 from ..functions.wordlists import LANGUAGE_LABELS, METRIC_RENAMES, NON_PLACE_KEYWORDS
 from ..operators import clean, compare, profile, quality, temporal, textstats
 from ..operators import distribution as dist
-from ..sources.readers import as_frame
+from ..sources.readers import as_frame, format_of
+from ..sources.scratch import new_path
 from ..sources.sinks import base_name, write_report
 
 Reports = dict[str, DataFrame]
@@ -202,12 +203,28 @@ def all_post_reports(df: DataFrame, c: PostColumns = PostColumns()) -> Reports:
 
 
 def run(
-    spark: SparkSession, authors: str | DataFrame, posts: str | DataFrame, out: str, fmt: str = "parquet"
+    spark: SparkSession,
+    authors: str | DataFrame,
+    posts: str | DataFrame,
+    out: str,
+    fmt: str = "parquet",
+    infer: bool = False,
+    multi_line: bool = True,
 ) -> list[str]:
-    """Write every report of both tables to ``out`` and return the paths."""
+    """Write every report of both tables to ``out`` and return the paths.
+
+    A CSV file is parsed once: the reports read a Parquet copy in the shared folder. With
+    ``infer`` its columns get types, which the type reports then show; without ``multi_line``
+    the file can be split (``read_csv``).
+    """
     written = []
     for name, source, reports in (("authors", authors, all_author_reports), ("posts", posts, all_post_reports)):
         base = base_name(source) if isinstance(source, str) else name
-        for report, frame in reports(as_frame(spark, source)).items():
-            written.append(write_report(frame, out, base, report, fmt))
+        frame = as_frame(spark, source, infer=infer, multi_line=multi_line)
+        if isinstance(source, str) and format_of(source) == "csv":
+            copy = new_path(spark, base)
+            frame.write.parquet(copy)
+            frame = spark.read.parquet(copy)
+        for report, result in reports(frame).items():
+            written.append(write_report(result, out, base, report, fmt))
     return written

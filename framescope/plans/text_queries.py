@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import DIGITS, HASHTAG, MENTION, NOT_ALNUM, URL, WORD
 from ..operators import textstats
 from ..sources.readers import spread
 from .catalog import Tables, query, sql_list
 
+# Patterns of the SQL, written apart from those of the operators.
+WORD = r"[\p{L}\p{N}_]+"
+URL = r"http(?:s)?://[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+"
+
 # The raw documents have no tags, mentions of digits or web addresses, so a tail with all
 # of them, made of the row's own values, is added to each whole text.
 POSTS_SQL = """
@@ -36,8 +39,8 @@ def _tokens_sql(source: str) -> str:
     """One row per text with its keywords in order."""
     return f"""
     SELECT doc_id, list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(
-               regexp_replace(text, '{URL}', ' ', 'g'), '{MENTION}', ' ', 'g'), '{HASHTAG}', ' ', 'g'),
-               '{NOT_ALNUM}', ' ', 'g')), ' '),
+               regexp_replace(text, '{URL}', ' ', 'g'), '@{WORD}', ' ', 'g'), '#{WORD}', ' ', 'g'),
+               '[^0-9A-Za-z]+', ' ', 'g')), ' '),
                lambda w: length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({STOP})) AS tokens
     FROM ({source})
     """
@@ -70,7 +73,7 @@ def _bigrams_sql(source: str) -> str:
 
 def _mentions_sql(source: str) -> str:
     return f"""
-    SELECT count(*) FILTER (regexp_matches(m, '{DIGITS}')) AS numeric_mentions
+    SELECT count(*) FILTER (regexp_matches(m, '^\\p{{Nd}}+$')) AS numeric_mentions
     FROM (SELECT unnest(regexp_extract_all(text, '@({WORD})', 1)) AS m FROM ({source}))
     """
 

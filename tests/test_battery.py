@@ -60,6 +60,14 @@ def test_battery_writes_every_report(spark, files):
     assert reply == {"Original": 3, "Reply": 2}
 
 
+def test_battery_with_inferred_types(spark, files):
+    out = str(files / "typed")
+    battery.run(spark, str(files / "authors.csv"), str(files / "posts.csv"), out, infer=True)
+    listing = [tuple(map(str, r)) for r in table(spark, f"{out}/authors_column_names_and_dtypes")]
+    types = {name: row for row in listing for name in row}
+    assert "int" in str(types["author_followers"]) and "string" in types["author_userName"]
+
+
 def test_missing_columns_are_named(spark):
     df = spark.createDataFrame([], "text string")
     with pytest.raises(ValueError, match="createdAt"):
