@@ -316,6 +316,24 @@ def test_repeated_strings(spark, docs, none, monkeypatch, frequent):
     assert suffix.dedup_strings(none).count() == 0
 
 
+def test_variants_of_a_frequent_passage_share_no_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SHARED", 50)
+    line = b"0123456789" * 5
+    # One window in fragments that all differ behind it; the last ones are copies.
+    rows = [(i, i, 7, 32, line + f"{i % 280:03d}".encode() * 10 + b".") for i in range(300)]
+    found = spark.createDataFrame(rows, "o long, k long, pos long, windows int, fragment binary")
+    marks = suffix.frequent_marks(found)
+    assert "FlatMapGroupsInArrow" not in marks._jdf.queryExecution().toString()
+    least, wanted = {}, set()
+    for o, _, _, n, text in rows:
+        for i in range(n):
+            least.setdefault(text[i : i + 50], o)
+    for o, k, pos, n, text in rows:
+        wanted |= {(o, k, pos + i, 1) for i in range(n) if least[text[i : i + 50]] < o}
+    got = [tuple(r) for r in marks.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 299
+
+
 def test_jaccard(docs, none):
     def shingles(text):
         own = words(text)
