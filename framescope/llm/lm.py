@@ -124,12 +124,20 @@ def seated(rng, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return tables
 
 
+def reseated(rng, counts: np.ndarray, opened: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Tables of each dish after its customers sat down again, given the seating of all others.
+
+    A new table is as likely as the parent's predictive probability ``parent`` of the word; ``opened``
+    counts the tables of the dish's whole restaurant.
+    """
+    return seated(rng, counts, (STRENGTH + DISCOUNT * opened) * parent)
+
+
 def sampled(seed: int, context: np.ndarray, word: np.ndarray, counts: np.ndarray, parts: np.ndarray, share: float) -> np.ndarray:
-    """Tables of each pair in each kept sample.
+    """Tables of each pair in each kept sample, for restaurants that are all in one task.
 
-    A sweep empties the tables of each dish of each restaurant and seats its customers again, given the seating
-    of all others: a new table is as likely as the parent's predictive probability of the word, which counts the
-    tables that the word has in all restaurants here.
+    A sweep empties the tables of each dish of each restaurant and seats its customers again. The operator
+    makes the same sweeps over many tasks.
     """
     rng = np.random.default_rng(seed)
     tables = np.minimum(counts, 1)
@@ -140,9 +148,8 @@ def sampled(seed: int, context: np.ndarray, word: np.ndarray, counts: np.ndarray
         below = np.bincount(word, weights=tables, minlength=words)
         own = np.bincount(context, weights=tables, minlength=contexts) * parts
         parent = (below + share) / (below.sum() + share * (words + 1))
-        weight = (STRENGTH + DISCOUNT * own[context[moving]]) * parent[word[moving]]
         tables = tables.copy()
-        tables[moving] = seated(rng, counts[moving], weight)
+        tables[moving] = reseated(rng, counts[moving], own[context[moving]], parent[word[moving]])
         if sweep >= BURN_IN:
             kept.append(tables)
     return np.stack(kept)
@@ -159,10 +166,11 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
     probabilities of the text, ``perplexity`` (of ``score`` per token).
 
     The model is a hierarchy of Pitman-Yor restaurants: one for each preceding word (or the
-    start), and one parent of all. Restaurants are dealt to tasks by their context; a task
-    samples their seating with its own share of the parent, whose tables are then added up (approximate
-    distributed Gibbs sampling). A context with more than a task's share of the tokens is split by
-    words, and its number of tables is there estimated from each part. Predictive probabilities are averaged over the samples.
+    start), and one parent of all. Restaurants are dealt to tasks by their context. Before each
+    sweep the tables that a word has in all restaurants are added up and told to the tasks, which
+    then seat all customers again (distributed Gibbs sampling with the parent of the sweep before).
+    A context with more than a task's share of the tokens is split by words, and its tables are the sum
+    over its parts. Predictive probabilities are averaged over the samples.
 
     ``documents`` must give the same rows in the same order each time it is read, as a scan of
     files does; it is checked, and an error raised otherwise. NULL and empty texts are one end. Repeated rows
@@ -204,7 +212,31 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
                 payload = packed_numbers(steps(block.hashes[contexts]), n, words, counts[chosen])
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number]), pa.array([block.check]), pa.array([payload], pa.binary())], ["bucket", "block", "check", "payload"])
 
-    def seat(table):
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    shape = "kind int, to long, part int, check long, payload binary"
+
+    def made(out: list[tuple]) -> pa.Table:
+        names = ("kind", "to", "part", "check", "payload")
+        return pa.table({name: pa.array([o[i] for o in out], kind) for i, (name, kind) in enumerate(zip(names, kinds))})
+
+    def told(bucket: int, sample: int, names: np.ndarray, known: np.ndarray, opened: np.ndarray, below: np.ndarray) -> list[tuple]:
+        """Tables per word for the buckets of words (kind 1), and of the parts of split contexts (kind 4)."""
+        dealt = spread(known << np.uint64(64 - WORD_BITS), buckets)
+        bounds = np.searchsorted(dealt, np.arange(buckets + 1, dtype=np.uint64))
+        out = []
+        for to in np.flatnonzero(np.diff(bounds)).tolist():
+            piece = slice(bounds[to], bounds[to + 1])
+            out.append((1, to, bucket, sample, packed_numbers(steps(known[piece]), below[piece])))
+        often = [i for i, n in enumerate(names.tolist()) if n in hot]
+        out.append((4, 0, bucket, sample, packed_numbers(names[often], opened[often])))
+        return out
+
+    def begin(table):
+        """The restaurants of a bucket with one table for each dish.
+
+        Kind 5: contexts, words, and the dishes with several customers, which alone move. Kind 6: their tables.
+        Kinds 8 and 9: the pairs of each block, and the customers of all pairs.
+        """
         bucket = table.column("bucket")[0].as_py()
         asked = [unpacked_numbers(p.as_py()) for p in table.column("payload")]
         contexts = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
@@ -216,33 +248,111 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
         pair, own = np.unique(context.astype(np.int64) * len(known) + word, return_inverse=True)
         total = np.bincount(own, weights=counts, minlength=len(pair)).astype(np.int64)
         context, word = pair // len(known), pair % len(known)
-        parts = np.array([hot.get(int(n), 1) for n in names], np.int64)
-        tables = sampled(bucket + 1, context, word, total, parts, 1.0 / buckets)
-        per_context = [np.rint(np.bincount(context, weights=t, minlength=len(names)) * parts).astype(np.uint64) for t in tables]
-        out = {"kind": [], "to": [], "part": [], "check": [], "payload": []}
-
-        def send(kind, to, check, payload):
-            for name, value in zip(out, (kind, to, bucket, check, payload)):
-                out[name].append(value)
-
+        moving = total > 1
+        single = total == 1
+        opened, below = (np.bincount(i[single], minlength=n) for i, n in ((context, len(names)), (word, len(known))))
+        state = packed_numbers(names, known, opened, below, context[moving], word[moving], total[moving])
+        ones = np.ones(int(moving.sum()), np.int64)
+        out = [(5, bucket, 0, 0, state), (6, bucket, 0, 0, packed_numbers(ones)), (9, bucket, 0, 0, packed_numbers(total))]
         at = 0
         for number, check, own_contexts, a in zip(table.column("block").to_pylist(), table.column("check").to_pylist(), contexts, asked):
             mine = own[at : at + len(a[2])]
             at += len(a[2])
-            rows_ = np.searchsorted(names, own_contexts)
-            send(0, number, check, packed_numbers(total[mine], *[t[mine] for t in tables], *[p[rows_] for p in per_context]))
-        per_word = [np.bincount(word, weights=t, minlength=len(known)).astype(np.uint64) for t in tables]
-        dealt = spread(known << np.uint64(64 - WORD_BITS), buckets)
-        bounds = np.searchsorted(dealt, np.arange(buckets + 1, dtype=np.uint64))
-        for to in np.flatnonzero(np.diff(bounds)).tolist():
-            piece = slice(bounds[to], bounds[to + 1])
-            send(1, to, 0, packed_numbers(steps(known[piece]), *[p[piece] for p in per_word]))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
+            out.append((8, bucket, 0, check, packed_numbers([number], mine, np.searchsorted(names, own_contexts))))
+        every = (np.bincount(i, weights=total > 0, minlength=n) for i, n in ((context, len(names)), (word, len(known))))
+        return made(out + told(bucket, 0, names, known, *every))
+
+    def parents(table):
+        """Tables of each word in all restaurants, for each bucket that has the word, and their sum (kind 3)."""
+        bucket = table.column("to")[0].as_py()
+        asked = [unpacked_numbers(p.as_py()) for p in table.column("payload")]
+        words_ = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
+        known, own = np.unique(np.concatenate(words_), return_inverse=True)
+        below = np.bincount(own, weights=np.concatenate([a[1] for a in asked]), minlength=len(known)).astype(np.int64)
+        out = [(3, 0, bucket, 0, packed_numbers([int(below.sum()), int((below > 0).sum())]))]
+        at = 0
+        for to, names in zip(table.column("part").to_pylist(), words_):
+            out.append((7, to, bucket, 0, packed_numbers(below[own[at : at + len(names)]])))
+            at += len(names)
+        return made(out)
+
+    def split_tables(frame: DataFrame) -> dict[int, int]:
+        """Tables of each split context, summed over its parts: at most twice ``buckets`` numbers."""
+        out: dict[int, int] = {}
+        for row in frame.where("kind = 4").select("payload").collect():
+            for name, n in zip(*(v.tolist() for v in unpacked_numbers(bytes(row["payload"])))):
+                out[name] = out.get(name, 0) + n
+        return out
+
+    def sweep_of(number: int, opened_hot: dict[int, int], customers: int, words_: int):
+        def sweep(table):
+            bucket = table.column("to")[0].as_py()
+            payloads = {}
+            for kind, part, payload in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "payload"))):
+                payloads[kind, part] = unpacked_numbers(payload)
+            names, known, opened, below, context, word, counts = payloads[5, 0]
+            opened, below, context, word, counts = (v.astype(np.int64) for v in (opened, below, context, word, counts))
+            tables = payloads[6, 0][0].astype(np.int64)
+            replies = [payloads[k][0] for k in sorted(k for k in payloads if k[0] == 7)]
+            parent = (np.concatenate(replies).astype(float) + 1) / (customers + words_ + 1)
+            everywhere = opened + np.bincount(context, weights=tables, minlength=len(names))
+            for i, name in enumerate(names.tolist()):
+                if name in opened_hot:
+                    everywhere[i] = opened_hot[name]
+            rng = np.random.default_rng([bucket + 1, number])
+            tables = reseated(rng, counts, everywhere[context], parent[word])
+            opened = opened + np.bincount(context, weights=tables, minlength=len(names)).astype(np.int64)
+            below = below + np.bincount(word, weights=tables, minlength=len(known)).astype(np.int64)
+            sample = max(0, number - BURN_IN)
+            return made([(6, bucket, 0, sample, packed_numbers(tables)), *told(bucket, sample, names, known, opened, below)])
+
+        return sweep
 
-    shape = "kind int, to long, part int, check long, payload binary"
     asked = rows.mapInArrow(ask_pairs, "bucket int, block long, check long, payload binary")
-    seats = stored(asked.groupBy("bucket").applyInArrow(seat, shape), "seats")
+    start = stored(asked.groupBy("bucket").applyInArrow(begin, shape), "start")
+    current, samples = start, []
+    for number in range(BURN_IN + SAMPLES):
+        replies = stored(current.where("kind = 1").groupBy("to").applyInArrow(parents, shape), "parents")
+        told_all = np.zeros(2, np.int64)
+        for row in replies.where("kind = 3").select("payload").collect():  # one short row per bucket
+            told_all += unpacked_numbers(bytes(row["payload"]))[0].astype(np.int64)
+        given = start.where("kind = 5").unionAll(current.where("kind = 6")).unionAll(replies.where("kind = 7"))
+        sweep = sweep_of(number, split_tables(current), *told_all.tolist())
+        current = stored(given.groupBy("to").applyInArrow(sweep, shape), "sweep")
+        if number >= BURN_IN:
+            samples.append(current)
+    opened_hot = [split_tables(sample) for sample in samples]
+
+    def answer(table):
+        """The customers and tables of each block's pairs, and the tables of its contexts in the bucket."""
+        bucket = table.column("to")[0].as_py()
+        tables, blocks_ = {}, []
+        for kind, check, payload in zip(*(table.column(c).to_pylist() for c in ("kind", "check", "payload"))):
+            values = unpacked_numbers(payload)
+            if kind == 5:
+                names, _, opened, _, context, *_ = values
+            elif kind == 6:
+                tables[check] = values[0].astype(np.int64)
+            elif kind == 9:
+                total = values[0].astype(np.int64)
+            else:
+                blocks_.append((int(values[0][0]), check, values[1].astype(np.int64), values[2].astype(np.int64)))
+        whole, per_context = [], []
+        for s in range(SAMPLES):
+            every = np.minimum(total, 1)
+            every[total > 1] = tables[s]
+            whole.append(every)
+            per_context.append(opened.astype(np.int64) + np.bincount(context.astype(np.int64), weights=tables[s], minlength=len(names)).astype(np.int64))
+        return made([
+            (0, number, bucket, check, packed_numbers(total[mine], *[t[mine] for t in whole], *[p[rows_] for p in per_context]))
+            for number, check, mine, rows_ in blocks_
+        ])
+
+    sampled_tables = samples[0]
+    for sample in samples[1:]:
+        sampled_tables = sampled_tables.unionAll(sample)
+    given = start.where("kind in (5, 8, 9)").unionAll(sampled_tables.where("kind = 6"))
+    seats = given.groupBy("to").applyInArrow(answer, shape)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, block in numbered(batches):
@@ -261,11 +371,10 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
         total = np.bincount(own, weights=np.concatenate([a[1] for a in asked]) if asked else None, minlength=len(known)).astype(np.int64)
         short = known >> np.uint64(64 - WORD_BITS)
         customers = np.zeros((SAMPLES, len(known)), np.int64)
-        for payload in tables_.column("payload"):
-            names, *tables = unpacked_numbers(payload.as_py())
-            place = np.searchsorted(short, np.cumsum(names, dtype=np.uint64))
-            for s in range(SAMPLES):
-                customers[s, place] += tables[s].astype(np.int64)
+        for s, payload in zip(tables_.column("check").to_pylist(), tables_.column("payload")):
+            names, tables = unpacked_numbers(payload.as_py())
+            # The start, which is never a word, and the end have the same short hash; the end is the later one.
+            customers[s, np.searchsorted(short, np.cumsum(names, dtype=np.uint64), side="right") - 1] += tables.astype(np.int64)
         out = {"kind": [3], "to": [0], "part": [bucket], "check": [0], "payload": [packed_numbers([total.sum(), (total > 0).sum(), *customers.sum(axis=1)])]}
         at = 0
         for number, check, names in zip(asked_.column("block").to_pylist(), asked_.column("check").to_pylist(), hashes):
@@ -273,11 +382,10 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
             at += len(names)
             for name, value in zip(out, (2, number, bucket, check, packed_numbers(total[mine], *[c[mine] for c in customers]))):
                 out[name].append(value)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
 
     words = rows.mapInArrow(ask_words, "to long, block long, check long, payload binary")
-    words = stored(words.groupBy("to").cogroup(seats.where("kind = 1").groupBy("to")).applyInArrow(count, shape), "words")
+    words = stored(words.groupBy("to").cogroup(sampled_tables.where("kind = 1").groupBy("to")).applyInArrow(count, shape), "words")
     whole = np.zeros(2 + SAMPLES)
     for row in words.where("kind = 3").select("payload").collect():  # one short row per bucket
         whole += unpacked_numbers(bytes(row["payload"]))[0].astype(float)
@@ -330,6 +438,11 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
                 for s in range(SAMPLES):
                     tables[s, chosen] = values[1 + s]
                     opened[s, chosen] = values[1 + SAMPLES + s][at]
+            for context in hot:
+                at = np.searchsorted(block.hashes, np.uint64(context))
+                if at < len(block.hashes) and block.hashes[at] == np.uint64(context):
+                    for s in range(SAMPLES):
+                        opened[s, left == at] = opened_hot[s][context]
             chance = np.zeros(len(left))
             for s in range(SAMPLES):
                 parent = (customers[s][right] + 1) / (customers_all[s] + n_words + 1)
@@ -347,7 +460,7 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
             raise ValueError("the documents were not read in the same order twice; store them first")
         return pa.concat_tables(out)
 
-    answers = seats.where("kind = 0").unionAll(words.where("kind = 2"))
+    answers = seats.unionAll(words.where("kind = 2"))
     carried = rows.mapInArrow(carry, "to long, check long, payload binary")
     scored = carried.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(score, schema)
     return scored.withColumnRenamed("id", id_column)

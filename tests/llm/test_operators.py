@@ -116,6 +116,35 @@ def test_restaurants_give_a_distribution():
         assert chance.sum() / (lm.STRENGTH + counts[rows].sum()) == pytest.approx(1)
 
 
+def test_split_context_gives_a_distribution(spark, tmp_path):
+    names = [f"w{i}" for i in range(40)]
+    texts = ["u", "u u", "u the", "u the the", "u the u", *[f"u {w} u" for w in names], *[f"u the {w} u" for w in names]]
+    # One text to learn from, so that "the" is split; each other word, and the start, has one customer.
+    rows = [(0, " ".join(f"the {w}" for w in names)), *enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = lm.scores(spark.read.parquet(str(tmp_path / "d")), F.col("doc_id") == 0).collect()
+    by_id = dict(rows)
+    p = {by_id[r["doc_id"]]: 10 ** r["score"] for r in got}
+    once = (lm.STRENGTH + lm.DISCOUNT) / (lm.STRENGTH + 1)
+    u = p["u u"] / p["u"]
+    end = p["u"] / (once * u)
+    parent = {w: p[f"u {w} u"] / ((once * u) ** 2 * end) for w in names}
+    the = 1 - sum(parent.values()) - end - u
+    chances = [p[f"u the {w} u"] / ((once * u) ** 2 * the * end) for w in names]
+    chances += [p["u the"] / (once * u * the), p["u the the"] / p["u the"], p["u the u"] / (once * u * the * end)]
+    assert sum(chances) == pytest.approx(1, abs=1e-6)
+
+
+def test_scores_do_not_depend_on_the_number_of_tasks(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for bucket in (lm.BUCKET, 4096):
+        monkeypatch.setattr(lm, "BUCKET", bucket)
+        found.append(lm.scores(table, bucket_of(table["doc_id"], 7) != 2).agg(F.sum("score")).first()[0])
+    print(found)
+    assert found[1] == pytest.approx(found[0], rel=5e-4)
+
+
 def test_seating_equals_single_steps():
     """The mean number of tables, with jumps, is that of seating customer by customer."""
     rng = np.random.default_rng(2)
