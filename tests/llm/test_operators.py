@@ -386,6 +386,25 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_groups(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_near_copy_stage_uses_five_words_and_80_percent(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (49, 54, 58, 70, 110):
+        own = [f"t{n}x{i}" for i in range(n)]
+        texts += [own, [*own[: n // 2], "changed", *own[n // 2 + 1 :]], own + [f"e{n}y{i}" for i in range(n // 4)], own[: int(n * 0.7)]]
+    texts += [[f"w{i}" for i in rng.integers(0, 5, 12)] for _ in range(20)] + [["a", "b"], ["a", "b"], ["a"], []]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} if len(t) >= 5 else ({tuple(t)} if t else set()) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    wanted = {min(i for i, g in enumerate(group) if g == own) for own in group}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.ngram_jaccard(spark, df, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) <= len(texts) - 6
+
+
 def test_search_keeps_every_link():
     rng = np.random.default_rng(5)
     rows = []
