@@ -386,6 +386,15 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_groups(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_least_digest_of_a_mark_needs_no_window(spark, monkeypatch):
+    plans = []
+    kept = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: plans.append(links._jdf.queryExecution().toString()) or kept(links))
+    rows = [(i, "same words here and there " + f"tail{i % 3} " * 4) for i in range(9)]
+    jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert plans and "Window" not in plans[0] and "partial_min" in plans[0]
+
+
 def test_near_copy_stage_uses_five_words_and_80_percent(spark):
     rng = np.random.default_rng(5)
     texts = []
