@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,27 +55,44 @@ def id_text(value: Column, dtype: T.DataType) -> Column:
     """Identifier to text without a decimal part; NULL, NaN and "nan" texts become NULL."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         # A fraction, or a number beyond 38 digits, stays as it is written: other ids must not merge.
-        whole = F.when(F.floor(value.cast("double")) == value, value.try_cast("decimal(38,0)"))
+        whole = F.when(value.cast("double") % F.lit(1.0) == 0, value.try_cast("decimal(38,0)"))
         return F.when(~F.isnan(value), F.coalesce(whole.cast("string"), value.cast("string")))
     text = value.cast("string")
     whole = F.regexp_replace(text, r"^([0-9]+)\.0+$", "$1")
     return F.when(~text.isin("nan", "<NA>"), whole)
 
 
-def to_number(value: Column) -> Column:
-    """Value to double; what is not a number (NaN included) becomes NULL."""
+def to_number(value: Column, dtype: T.DataType | None = None) -> Column:
+    """Value to double; what is not a number (NaN included) becomes NULL.
+
+    With its type, a column of numbers is cast alone; only text has to be looked at.
+    """
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.nullif(value.cast("double"), F.lit(float("nan")))
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return value.cast("double")
     # Spark would also read the type suffixes of "1d" and "2f".
     suffixed = value.cast("string").rlike(r"[0-9.][dDfF]\s*$")
     number = F.when(~suffixed, value.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 
-def positive(value: Column) -> Column:
+def number_of(df: DataFrame, name: str) -> Column:
+    """A column of a frame as a double, by its type."""
+    return to_number(df[name], df.schema[name].dataType)
+
+
+def positive(value: Column, dtype: T.DataType | None = None) -> Column:
     """The number where it is above zero, else NULL."""
-    number = to_number(value)
+    number = to_number(value, dtype)
     return F.when(number > 0, number)
 
 
+def positive_of(df: DataFrame, name: str) -> Column:
+    """A column of a frame where it is a number above zero."""
+    return positive(df[name], df.schema[name].dataType)
+
+
 def relabel(value: Column, labels: Mapping[str, str]) -> Column:
     """Replace values by the dictionary; others pass through and NULL stays NULL."""
     if not labels:

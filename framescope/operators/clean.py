@@ -40,7 +40,7 @@ def coerce_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Turn columns into doubles; what is not a number becomes NULL."""
     names = list(columns)
     require_columns(df, names)
-    return df.withColumns({name: fx.to_number(df[name]) for name in names})
+    return df.withColumns({name: fx.number_of(df, name) for name in names})
 
 
 def relabel(df: DataFrame, column: str, labels: Mapping[str, str]) -> DataFrame:
@@ -74,7 +74,7 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def positive_only(df: DataFrame, column: str) -> DataFrame:
     """Keep the rows whose number is above zero; the column itself is not changed."""
     require_columns(df, [column])
-    return df.where(fx.positive(df[column]).isNotNull())
+    return df.where(fx.positive_of(df, column).isNotNull())
 
 
 def in_groups(df: DataFrame, column: str, values: Iterable) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import percent, positive
+from ..functions.cleaning import percent, positive_of
 from ..functions.guards import require_columns
 from ..functions.sizing import total_of
 from .distribution import group_stats
@@ -30,7 +30,7 @@ def metric_means_by_group(
     """``(group, mean_<metric>…, rows, pct)``: means over the positives of each metric."""
     require_columns(df, [*metrics, group])
     grouped = df.groupBy(F.col(group).alias("group")).agg(
-        *[F.coalesce(F.avg(positive(df[m])), F.lit(0.0)).alias(f"mean_{m}") for m in metrics],
+        *[F.coalesce(F.avg(positive_of(df, m)), F.lit(0.0)).alias(f"mean_{m}") for m in metrics],
         F.count(F.lit(1)).alias("rows"),
     )
     shared = grouped.withColumn("pct", percent(F.col("rows"), total_of(grouped, "rows")))
@@ -59,7 +59,7 @@ def composition(
     source = df.where(F.col(group).isin(*groups)) if groups else df
     beside = ["metric_mean", "group_rows"] if metric else []
     extra = [
-        F.coalesce(F.avg(positive(F.col(metric))), F.lit(0.0)).alias("metric_mean"),
+        F.coalesce(F.avg(positive_of(df, metric)), F.lit(0.0)).alias("metric_mean"),
         F.count(F.lit(1)).alias("group_rows"),
     ] if metric else []
     counted = source.groupBy(F.col(group).alias("group")).agg(
@@ -116,7 +116,7 @@ def trait_means(
         return F.struct(F.lit(trait).alias("trait"), group.alias("group"))
 
     long = df.select(
-        positive(df[metric]).alias("_v"),
+        positive_of(df, metric).alias("_v"),
         F.inline(F.array(*[entry(t, c) for t, c in traits.items()])),
     )
     return (

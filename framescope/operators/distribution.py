@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import binning as bins
-from ..functions.cleaning import percent, positive, to_number
+from ..functions.cleaning import number_of, percent, positive_of
 from ..functions.guards import require_columns
 from ..functions.quantiles import summarise
 
@@ -101,7 +101,7 @@ def zero_inflation(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     require_columns(df, metrics)
     aggs = []
     for i, metric in enumerate(metrics):
-        number = to_number(df[metric])
+        number = number_of(df, metric)
         aggs += [F.count(number).alias(f"n{i}"), F.count_if(number == 0).alias(f"z{i}")]
     entries = [
         F.struct(
@@ -121,7 +121,7 @@ def zero_inflation(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def _by_metric(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Long form ``(metric, v)``: every metric of a row from the same scan."""
     require_columns(df, metrics)
-    entries = [F.struct(F.lit(m).alias("metric"), to_number(df[m]).alias("v")) for m in metrics]
+    entries = [F.struct(F.lit(m).alias("metric"), number_of(df, m).alias("v")) for m in metrics]
     return df.select(F.inline(F.array(*entries)))
 
 
@@ -192,7 +192,7 @@ def group_stats(
     ``rows`` counts every row of the group and ``pct`` is its share of the table.
     """
     require_columns(df, [metric, group])
-    summary = summarise(df, positive(df[metric]), [group], probs)
+    summary = summarise(df, positive_of(df, metric), [group], probs)
     zero = F.lit(0.0)
     return summary.select(
         F.col(group).alias("group"),
@@ -223,7 +223,7 @@ def histogram(
         raise ValueError(f"unknown scale: {scale}")
     require_columns(df, metrics)
     names = [f"x{i}" for i in range(len(metrics))]
-    numbers = df.select(*[positive(df[m]).alias(x) for m, x in zip(metrics, names)])
+    numbers = df.select(*[positive_of(df, m).alias(x) for m, x in zip(metrics, names)])
 
     def bounds(x: str) -> Column:
         lo, hi = F.col(f"{x}_lo"), F.col(f"{x}_hi")

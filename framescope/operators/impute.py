@@ -11,16 +11,21 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from ..functions.cleaning import is_missing
 from ..functions.guards import require_columns
 from ..functions.quantiles import summarise
 from ..functions.sizing import null_safe_join, settle
+from ..sources.scratch import new_path
 from .profile import missing_report
 
 # Rows of one key that one task should sort, about.
 MAX_CHUNK_ROWS = 5_000_000
 
+# Most ranges that large keys are dealt to; beyond it the ranges grow.
+MAX_RANGES = 100_000
+
 
 def _filled(df: DataFrame, column: str, value: Column) -> Column:
     """The column with its missing values replaced, in its own type."""
@@ -142,28 +147,93 @@ def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
     return df.withColumns({name: filled(name, value) for name, value in values.items()})
 
 
-def _chunk_of_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], most: int
-) -> tuple[DataFrame, Column | None]:
-    """Cut the keys with more rows than one task should sort, at places taken from a sample.
+# What `_around` looks for: the last value up to a row, or the first one from it on.
+BEFORE, AFTER = "before", "after"
+
+
+def _around(
+    df: DataFrame,
+    value: Column,
+    keys: Sequence[str],
+    order: Sequence[str],
+    wanted: Mapping[str, str],
+    chunk: Column | None = None,
+    most: int | None = None,
+    peers: bool = False,
+) -> DataFrame:
+    """``df`` with a column for each name in ``wanted``: the nearest value before or after the row.
 
-    A place is the struct of ``order`` and ``ties``, so equal times are cut by their ties, and
-    any type that can be ordered will do. Every ``most``-th place, by a hash, is a boundary; the
-    chunk of a row is the number of boundaries of its key up to the row. Returns the frame and
-    the chunk expression (0 for keys that are not cut), or ``None`` if no key is large.
+    ``value`` is NULL where there is none to give; a row's own value counts as both. A key with
+    at most ``most`` rows is sorted in one task. The rows of larger keys are dealt by ranges
+    of the key and its order, so that each range is sorted in a task of its own, and the outermost values of the
+    ranges are carried over those between. Rows that agree in key and order have no order and
+    are never cut apart; with ``peers`` each of them sees the values of all of them.
     """
+    base = df.withColumn("_v", value)
+    if chunk is not None:
+        return _over_chunks(base, keys, order, chunk, wanted, peers)
+    limit = MAX_CHUNK_ROWS if most is None else most
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot, rows = settle(sizes.where(F.col("_n") > most).select(*keys))
-    if rows is not None and not rows:
-        return df, None
-    place = F.struct(order, *ties)
-    sampled = df.where(F.pmod(F.xxhash64(order, *ties), F.lit(max(1, most))) == 0)
-    marked = null_safe_join(sampled, hot, keys, "inner", broadcast_right=rows is not None)
-    bounds = marked.groupBy(*keys).agg(F.array_sort(F.collect_set(place)).alias("_bounds"))
-    bounds, few = settle(bounds)
-    cut = null_safe_join(df, bounds, keys, "left", broadcast_right=few is not None)
-    chunk = F.size(F.filter(F.coalesce("_bounds", F.array().cast(bounds.schema["_bounds"].dataType)), lambda b: b <= place))
-    return cut, chunk
+    hot, few = settle(sizes.where(F.col("_n") > limit))
+    if few is not None and not few:
+        return _over_keys(base, keys, order, wanted, peers)
+    names = hot.drop("_n")
+    cold = null_safe_join(base, names, keys, "left_anti", broadcast_right=few is not None)
+    large = null_safe_join(base, names, keys, "left_semi", broadcast_right=few is not None)
+    ranges = hot.agg(F.sum("_n").alias("n")).first()["n"] // max(1, limit) + 1
+    # The number of the range is written with the rows: drawing the ranges again could cut elsewhere.
+    path = new_path(df.sparkSession, "ranges")
+    dealt = large.repartitionByRange(int(min(ranges, MAX_RANGES)), *keys, *order)
+    dealt.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    schema = T.StructType([*large.schema.fields, T.StructField("_range", T.IntegerType())])
+    placed = df.sparkSession.read.schema(schema).parquet(path)
+    spread = _over_chunks(placed, keys, order, F.col("_range"), wanted, peers)
+    whole = _over_keys(cold, keys, order, wanted, peers)
+    return whole.unionByName(spread.select(*whole.columns))
+
+
+def _sequence(order: Sequence[str], side: str) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if side == BEFORE else F.col(c).desc_nulls_last() for c in order]
+
+
+def _up_to(window: WindowSpec, peers: bool) -> WindowSpec:
+    frame = window.rangeBetween if peers else window.rowsBetween
+    return frame(Window.unboundedPreceding, Window.currentRow)
+
+
+def _over_keys(
+    base: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Mapping[str, str], peers: bool
+) -> DataFrame:
+    """Each key in one task; the windows of both sides share one shuffle."""
+    found = base
+    for name, side in wanted.items():
+        window = Window.partitionBy(*keys).orderBy(*_sequence(order, side))
+        found = found.withColumn(name, F.last("_v", ignorenulls=True).over(_up_to(window, peers)))
+    return found
+
+
+def _over_chunks(
+    base: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, wanted: Mapping[str, str], peers: bool
+) -> DataFrame:
+    """Each chunk of a key in one task, and one row per chunk to carry values from chunk to chunk."""
+    # Structs of the key and of the chunk equal one another even where they hold a NULL, so
+    # the windows and the join below can use one partitioning.
+    marked = base.withColumns({"_k": F.struct(*keys), "_c": F.struct(chunk.alias("chunk"))})
+    place = F.struct(*order)
+    held = F.when(F.col("_v").isNotNull(), place)
+    edges = {BEFORE: F.max_by("_v", held), AFTER: F.min_by("_v", held)}
+    ends = marked.groupBy("_k", "_c").agg(*[edges[side].alias(f"_end_{side}") for side in dict.fromkeys(wanted.values())])
+    near, far = marked, []
+    for i, (name, side) in enumerate(wanted.items()):
+        within = Window.partitionBy("_k", "_c").orderBy(*_sequence(order, side))
+        near = near.withColumn(f"_near_{i}", F.last("_v", ignorenulls=True).over(_up_to(within, peers)))
+        over = Window.partitionBy("_k").orderBy(F.col("_c").asc() if side == BEFORE else F.col("_c").desc())
+        over = over.rowsBetween(Window.unboundedPreceding, -1)
+        far.append(F.last(f"_end_{side}", ignorenulls=True).over(over).alias(f"_far_{i}"))
+    joined = near.join(ends.select("_k", "_c", *far), ["_k", "_c"], "left")
+    return joined.select(
+        *base.columns, *[F.coalesce(f"_near_{i}", f"_far_{i}").alias(name) for i, name in enumerate(wanted)]
+    )
 
 
 def _carry(
@@ -174,46 +244,14 @@ def _carry(
     ties: Sequence[str],
     chunk: Column | None,
     most: int | None,
-    forward: bool,
+    side: str,
 ) -> DataFrame:
     require_columns(df, [column, *keys, order, *ties])
     if not keys:
         raise ValueError("a fill in order needs a key")
-    direction = (lambda c: F.col(c).asc()) if forward else (lambda c: F.col(c).desc())
-    sequence = [direction(c) for c in [order, *ties]]
     value = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
-    base = df.withColumn("_v", value)
-    if chunk is None:
-        base, chunk = _chunk_of_hot_keys(base, keys, order, ties, MAX_CHUNK_ROWS if most is None else most)
-    if chunk is None:
-        whole = Window.partitionBy(*keys).orderBy(*sequence)
-        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return base.withColumn(column, F.last("_v", ignorenulls=True).over(upto)).select(*df.columns)
-
-    # Structs of the key and of the chunk equal one another even where they hold a NULL, so
-    # the window and the join below can use one partitioning.
-    marked = base.withColumns({"_k": F.struct(*keys), "_c": F.struct(chunk.alias("chunk"))})
-    within = (
-        Window.partitionBy("_k", "_c")
-        .orderBy(*sequence)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    near = marked.withColumn("_near", F.last("_v", ignorenulls=True).over(within))
-
-    place = F.struct(order, *ties)
-    edge = F.max_by if forward else F.min_by
-    ends = marked.groupBy("_k", "_c").agg(
-        edge("_v", F.when(F.col("_v").isNotNull(), place)).alias("_end")
-    )
-    # One row per key and chunk: the number of chunks depends on the time range, not the rows.
-    before = (
-        Window.partitionBy("_k")
-        .orderBy(direction("_c"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = ends.select("_k", "_c", F.last("_end", ignorenulls=True).over(before).alias("_far"))
-    joined = near.join(carried.where(F.col("_far").isNotNull()), ["_k", "_c"], "left")
-    return joined.withColumn(column, F.coalesce("_near", "_far")).select(*df.columns)
+    found = _around(df, value, keys, [order, *ties], {"_found": side}, chunk, most)
+    return found.withColumn(column, F.col("_found")).select(*df.columns)
 
 
 def fill_forward(
@@ -227,13 +265,13 @@ def fill_forward(
 ) -> DataFrame:
     """Replace a missing value by the last one before it within the key.
 
-    A key with more than ``chunk_rows`` rows (5 million unless given) is cut at places of a hash
-    sample, filled inside each chunk, and the last value of each chunk is carried on. So a key that
-    holds a third of the table is spread over its chunks, at any size and for any type of
+    Keys with more than ``chunk_rows`` rows (5 million unless given) are dealt by ranges of about
+    that many rows, filled inside each range, and the last value of each range is carried on. So a
+    key that holds a third of the table is spread over many tasks, in time that grows as its rows, for any type of
     ``order``. ``chunk`` gives an expression for all keys instead, which must not decrease in
     ``order``. ``ties`` order rows of equal ``order``; rows that agree in both have no order.
     """
-    return _carry(df, column, keys, order, ties, chunk, chunk_rows, True)
+    return _carry(df, column, keys, order, ties, chunk, chunk_rows, BEFORE)
 
 
 def fill_backward(
@@ -246,7 +284,7 @@ def fill_backward(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Replace a missing value by the first one after it within the key."""
-    return _carry(df, column, keys, order, ties, chunk, chunk_rows, False)
+    return _carry(df, column, keys, order, ties, chunk, chunk_rows, AFTER)
 
 
 def fill_from_donors(
@@ -271,6 +309,70 @@ def fill_from_similar(df: DataFrame, column: str, match: Sequence[str], order: s
     return fill_from_donors(df, column, match, df, order)
 
 
+def _as_number(df: DataFrame, name: str) -> Column:
+    """A number or a time as a double (times in seconds); NaN becomes NULL."""
+    dtype = df.schema[name].dataType
+    value = df[name].cast("timestamp") if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else df[name]
+    number = value.try_cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def fill_from_nearest_donor(
+    df: DataFrame,
+    column: str,
+    match: Sequence[str],
+    near: str,
+    donors: DataFrame,
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """Cold deck by likeness: the value of the donor that agrees on ``match`` and is nearest in ``near``.
+
+    ``near`` is a number or a time, in both tables. Of donors at one place the smallest value
+    counts, and of two places equally far the smaller value. A NULL in ``match`` agrees with a NULL;
+    a row without a place, or without a donor for its key, stays missing.
+
+    Donors are first reduced to one per place, in the task and then by a shuffle. They and the
+    rows to fill are put in one order, in which the nearest donor is the last one before a row or the first
+    one after it: no pair of a row and a donor is ever built, and large keys are cut by ranges
+    (see :func:`fill_forward`).
+    """
+    require_columns(df, [column, *match, near])
+    require_columns(donors, [column, *match, near])
+    if not match:
+        raise ValueError("a deck imputation needs a match key")
+    keys = [f"_m{i}" for i in range(len(match))]
+    present = ~is_missing(donors[column], donors.schema[column].dataType)
+    given = donors.where(present).select(*[donors[m].alias(k) for m, k in zip(match, keys)], _as_number(donors, near).alias("_at"), donors[column].alias("_value"))
+    places = given.where(F.col("_at").isNotNull()).groupBy(*keys, "_at").agg(F.min("_value").alias("_value"))
+
+    missing = is_missing(df[column], df.schema[column].dataType)
+    place = _as_number(df, near)
+    asks = missing & place.isNotNull()
+    row = F.struct(*[df[c] for c in df.columns])
+    asking = df.where(asks).select(*[df[m].alias(k) for m, k in zip(match, keys)], place.alias("_at"), row.alias("_row"))
+    donor = F.struct(F.col("_at").alias("at"), F.col("_value").alias("value"))
+    both = asking.withColumn("_donor", F.lit(None).cast(places.select(donor.alias("d")).schema["d"].dataType)).unionByName(
+        places.select(*keys, "_at", donor.alias("_donor")), allowMissingColumns=True
+    )
+    found = _around(both, F.col("_donor"), keys, ["_at"], {"_below": BEFORE, "_above": AFTER}, most=chunk_rows, peers=True)
+    below, above = F.col("_at") - F.col("_below.at"), F.col("_above.at") - F.col("_at")
+    nearest = (
+        F.when(F.col("_above").isNull() | (below < above), F.col("_below.value"))
+        .when(F.col("_below").isNull() | (above < below), F.col("_above.value"))
+        .otherwise(F.least("_below.value", "_above.value"))
+    )
+    dtype = df.schema[column].dataType
+    filled = found.where(F.col("_row").isNotNull()).select(
+        *[(F.coalesce(nearest.cast(dtype), F.col("_row")[c]) if c == column else F.col("_row")[c]).alias(c) for c in df.columns]
+    )
+    return filled.unionByName(df.where(~asks | asks.isNull()))
+
+
+def fill_from_nearest(df: DataFrame, column: str, match: Sequence[str], near: str, chunk_rows: int | None = None) -> DataFrame:
+    """Hot deck by likeness: the donors are the rows of the same table that have a value."""
+    return fill_from_nearest_donor(df, column, match, near, df, chunk_rows)
+
+
 def fill_by_model(df: DataFrame, column: str, features: Sequence[str], kind: str = "regression") -> DataFrame:
     """Fit a model on the complete rows and predict the missing values.
 

@@ -9,40 +9,37 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import relabel
 from ..functions.guards import require_columns
-
-# Period aliases and the units they truncate to (weeks start on Monday).
-PERIOD_UNITS = {
-    "Y": "year",
-    "Q": "quarter",
-    "M": "month",
-    "W": "week",
-    "D": "day",
-    "H": "hour",
-    "h": "hour",
-    "min": "minute",
-    "s": "second",
-}
+from ..functions.periods import period_start
 
 # Series kept by default, the name of the rest, and the number of peaks.
 TOP_SERIES = 2
 OTHER = "Other"
 PEAKS = 3
 
+# Most series that can be asked for: they are broadcast, and may be columns.
+MAX_TOP = 10_000
+
+
+def period(ts: Column, freq: str = "D", bins: bool = False) -> Column:
+    """Start of the period that ``ts`` lies in; for aliases see :mod:`..functions.periods`."""
+    return period_start(ts, freq, bins)
 
-def period(ts: Column, freq: str = "D") -> Column:
-    """Start of the period that ``ts`` lies in."""
-    if freq not in PERIOD_UNITS:
-        raise ValueError(f"unknown period alias: {freq}")
-    return F.date_trunc(PERIOD_UNITS[freq], ts).cast("timestamp_ntz")
 
+def _top(top: int) -> int:
+    if not 0 <= top <= MAX_TOP:
+        raise ValueError(f"the number of top series must be from 0 to {MAX_TOP}: {top}")
+    return top
 
-def _counted(df: DataFrame, ts: str, series: str, freq: str, labels: Mapping[str, str] | None) -> DataFrame:
+
+def _counted(
+    df: DataFrame, ts: str, series: str, freq: str, labels: Mapping[str, str] | None, bins: bool = False
+) -> DataFrame:
     """``(period, label, n)``: the one aggregation that everything here starts from."""
     require_columns(df, [ts, series])
     label = relabel(df[series], labels or {})
     return (
         df.where(df[ts].isNotNull())
-        .groupBy(period(df[ts], freq).alias("period"), label.alias("label"))
+        .groupBy(period(df[ts], freq, bins).alias("period"), label.alias("label"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -56,7 +53,7 @@ def _top_labels(counted: DataFrame, top: int) -> DataFrame:
         .agg(known.alias("total"))
         .where(F.col("total") > 0)
         .orderBy(F.desc("total"), F.asc("label"))
-        .limit(top)
+        .limit(_top(top))
     )
     # One task ranks at most `top` rows.
     order = Window.orderBy(F.desc("total"), F.asc("label"))
@@ -73,13 +70,16 @@ def volume(
     top: int = TOP_SERIES,
     other: str = OTHER,
     labels: Mapping[str, str] | None = None,
+    bins: bool = False,
 ) -> DataFrame:
     """``(period, series, series_rank, n)`` for the top series; the rest is ``other``.
 
+    ``bins`` makes an alias of several units, such as ``15min``, bins of that width.
+
     Rows without a time drop out; rows without a series go to ``other``, which is ranked
     after the top series (a real series of that name keeps its own rank).
     """
-    counted = _counted(df, ts, series, freq, labels)
+    counted = _counted(df, ts, series, freq, labels, bins)
     # The right side has at most `top` rows, so it may be broadcast.
     ranked = F.broadcast(_top_labels(counted, top))
     name = F.coalesce(F.col("series"), F.lit(other))
@@ -120,12 +120,12 @@ def volume_pivot(
     return long.groupBy("period").pivot("series", list(names)).agg(F.sum("n")).na.fill(0, list(names))
 
 
-def period_totals(df: DataFrame, ts: str, freq: str = "D") -> DataFrame:
+def period_totals(df: DataFrame, ts: str, freq: str = "D", bins: bool = False) -> DataFrame:
     """``(period, n)``."""
     require_columns(df, [ts])
     return (
         df.where(df[ts].isNotNull())
-        .groupBy(period(df[ts], freq).alias("period"))
+        .groupBy(period(df[ts], freq, bins).alias("period"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

@@ -121,7 +121,7 @@ def fill_forward(t: Tables) -> DataFrame:
     """,
 )
 def fill_forward_chunked(t: Tables) -> DataFrame:
-    return impute.fill_forward(gaps(t), "value", ["user_id"], "event_id", chunk_rows=4)
+    return impute.fill_forward(gaps(t), "value", ["user_id"], "event_id")
 
 
 @query(
@@ -187,3 +187,84 @@ def fill_by_model(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("price"),
     )
     return impute.fill_by_model(li, "price", ["l_quantity"]).withColumn("price", F.round("price", 2))
+
+
+@query(
+    "fill_forward_one_key",
+    f"""
+    SELECT event_id, ts, event_type IS NULL AS key,
+           last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value
+    FROM (SELECT event_type, g.* FROM ({GAPS_SQL}) g JOIN events USING (event_id))
+    """,
+)
+def fill_forward_one_key(t: Tables) -> DataFrame:
+    """One key for the whole table, dealt by ranges of about 1,000 rows."""
+    one = gaps(t).select("event_id", "ts", F.col("event_id").isNull().alias("key"), "value")
+    return impute.fill_forward(one, "value", ["key"], "ts", ["event_id"], chunk_rows=1_000)
+
+
+@query(
+    "fill_from_nearest",
+    f"""
+    WITH g AS ({GAPS_SQL}),
+    d AS (SELECT user_id, ts, min(value) AS v FROM g WHERE value IS NOT NULL GROUP BY 1, 2),
+    b AS (SELECT g.*, d.ts AS at, d.v FROM g ASOF LEFT JOIN d ON g.user_id = d.user_id AND g.ts >= d.ts),
+    a AS (SELECT g.event_id, d.ts AS at, d.v FROM g ASOF LEFT JOIN d ON g.user_id = d.user_id AND g.ts <= d.ts)
+    SELECT b.event_id, b.ts, b.user_id, coalesce(b.value, CASE
+        WHEN a.at IS NULL OR b.ts - b.at < a.at - b.ts THEN b.v
+        WHEN b.at IS NULL OR b.ts - b.at > a.at - b.ts THEN a.v ELSE least(a.v, b.v) END) AS value
+    FROM b JOIN a USING (event_id)
+    """,
+)
+def fill_from_nearest(t: Tables) -> DataFrame:
+    return impute.fill_from_nearest(gaps(t), "value", ["user_id"], "ts")
+
+
+@query(
+    "fill_from_nearest_donor",
+    """
+    WITH c AS (
+        SELECT c_custkey, c_nationkey, c_custkey % 400 AS place,
+               CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS balance
+        FROM customer
+    ),
+    d AS (SELECT s_nationkey, s_suppkey % 400 AS place, s_acctbal FROM supplier),
+    r AS (
+        SELECT c.c_custkey, s_acctbal,
+               row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c.place - d.place), s_acctbal) AS r
+        FROM c JOIN d ON c_nationkey = s_nationkey
+    )
+    SELECT c_custkey, c_nationkey, place, coalesce(balance, s_acctbal) AS balance
+    FROM c LEFT JOIN (SELECT * FROM r WHERE r = 1) USING (c_custkey)
+    """,
+)
+def fill_from_nearest_donor(t: Tables) -> DataFrame:
+    asking = t.customer.select(
+        "c_custkey", "c_nationkey", (F.col("c_custkey") % 400).alias("place"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")).alias("balance"),
+    )
+    donors = t.supplier.select(
+        F.col("s_nationkey").alias("c_nationkey"), (F.col("s_suppkey") % 400).alias("place"), F.col("s_acctbal").alias("balance")
+    )
+    return impute.fill_from_nearest_donor(asking, "balance", ["c_nationkey"], "place", donors)
+
+
+@query(
+    "fill_class_by_model",
+    f"""
+    WITH g AS (
+        SELECT event_id, value, CASE WHEN event_id % 7 = 0 THEN NULL WHEN value > 50 THEN 'high' ELSE 'low' END AS level FROM events
+    )
+    SELECT event_id, event_id % 7 = 0 AS was_missing,
+           CASE WHEN abs(value - 50) < 5 AND event_id % 7 = 0 THEN 'near the edge' ELSE CASE WHEN value > 50 THEN 'high' ELSE 'low' END END AS level
+    FROM g
+    """,
+)
+def fill_class_by_model(t: Tables) -> DataFrame:
+    """Two classes that one number separates; predictions at the edge itself are not compared."""
+    missing = F.col("event_id") % 7 == 0
+    level = F.when(F.col("value") > 50, "high").otherwise("low")
+    events = t.events.select("event_id", "value", F.when(~missing, level).alias("level"))
+    filled = impute.fill_by_model(events, "level", ["value"], kind="classification")
+    edge = (F.abs(F.col("value") - 50) < 5) & missing
+    return filled.select("event_id", missing.alias("was_missing"), F.when(edge, "near the edge").otherwise(F.col("level")).alias("level"))

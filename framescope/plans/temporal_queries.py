@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import temporal
 from .catalog import Tables, query
@@ -77,3 +80,79 @@ def peak_periods(t: Tables) -> DataFrame:
 )
 def stacked_bounds(t: Tables) -> DataFrame:
     return temporal.stacked_bounds(t.events, "ts", "event_type")
+
+
+# Starts of calendar periods by date arithmetic of the SQL engine's own.
+DAY = "date_trunc('day', ts)"
+STARTS_SQL = {
+    "2D": DAY,
+    "W-SUN": f"{DAY} - to_days((isodow(ts) - 1)::INT)",
+    "W-WED": f"{DAY} - to_days(((isodow(ts) + 3) % 7)::INT)",
+    "Q-FEB": "make_date(year(ts) - (month(ts) < 3)::INT, CASE WHEN month(ts) IN (12, 1, 2) THEN 12 ELSE month(ts) // 3 * 3 END, 1)",
+    "YE": "make_date(year(ts), 1, 1)",
+    "A-JUN": "make_date(year(ts) - (month(ts) < 7)::INT, 7, 1)",
+    "ME": "make_date(year(ts), month(ts), 1)",
+    "B": f"{DAY} + to_days(CASE isodow(ts) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END)",
+    "15min": "date_trunc('minute', ts)",
+}
+BINS_SQL = {
+    "15min": "time_bucket(INTERVAL 15 minutes, ts, TIMESTAMP '1970-01-01')",
+    "7h": "time_bucket(INTERVAL 7 hours, ts, TIMESTAMP '1970-01-01')",
+    "2D": "time_bucket(INTERVAL 2 days, ts, TIMESTAMP '1970-01-01')",
+    "2W-SAT": "time_bucket(INTERVAL 14 days, ts, TIMESTAMP '1970-01-11')",
+    "5ME": "time_bucket(INTERVAL 5 months, ts, TIMESTAMP '1970-01-01')",
+    "2Q": "time_bucket(INTERVAL 6 months, ts, TIMESTAMP '1970-01-01')",
+}
+
+
+def _spread(t: Tables) -> DataFrame:
+    """Events whose times are drawn apart over years, so that every kind of period changes."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) * 37 - F.col("event_id") * 86_400_000_000
+    return t.events.select(F.timestamp_micros(micros).cast("timestamp_ntz").alias("ts"), "event_type")
+
+
+SPREAD_SQL = "SELECT make_timestamp(epoch_us(ts) * 37 - event_id * 86400000000) AS ts, event_type FROM events"
+
+
+@query(
+    "period_starts",
+    " UNION ALL ".join(
+        f"SELECT '{alias}' AS freq, ({start})::TIMESTAMP AS period, count(*) AS n FROM ({SPREAD_SQL}) GROUP BY 1, 2"
+        for alias, start in STARTS_SQL.items()
+    ),
+)
+def period_starts(t: Tables) -> DataFrame:
+    frames = [temporal.period_totals(_spread(t), "ts", freq).select(F.lit(freq).alias("freq"), "period", "n") for freq in STARTS_SQL]
+    return reduce(DataFrame.unionAll, frames)
+
+
+@query(
+    "period_bins",
+    " UNION ALL ".join(
+        f"SELECT '{alias}' AS freq, ({start})::TIMESTAMP AS period, count(*) AS n FROM ({SPREAD_SQL}) GROUP BY 1, 2"
+        for alias, start in BINS_SQL.items()
+    ),
+)
+def period_bins(t: Tables) -> DataFrame:
+    frames = [
+        temporal.period_totals(_spread(t), "ts", freq, bins=True).select(F.lit(freq).alias("freq"), "period", "n") for freq in BINS_SQL
+    ]
+    return reduce(DataFrame.unionAll, frames)
+
+
+@query(
+    "volume_pivot_named",
+    f"""
+    SELECT period, coalesce(sum(n) FILTER (series = first), 0)::BIGINT AS "first",
+           coalesce(sum(n) FILTER (series = second), 0)::BIGINT AS "second",
+           coalesce(sum(n) FILTER (series = 'Other'), 0)::BIGINT AS "Other"
+    FROM ({_volume_sql('day')}),
+         (SELECT max(series) FILTER (series_rank = 1) AS first, max(series) FILTER (series_rank = 2) AS second FROM ({_volume_sql('day')}))
+    GROUP BY 1
+    """,
+)
+def volume_pivot_named(t: Tables) -> DataFrame:
+    """The names of the series are found by the operator; the two best are renamed for the SQL."""
+    wide = temporal.volume_pivot(t.events, "ts", "event_type")
+    first, second = wide.columns[1:3]
+    return wide.withColumnsRenamed({first: "first", second: "second"})

@@ -138,15 +138,50 @@ def test_fill_needs_a_key(spark):
 
 
 @pytest.mark.parametrize("order", ["n", "name", "day", "at"])
-def test_hot_keys_of_any_order_are_cut(spark, order):
+def test_hot_keys_of_any_order_are_cut(spark, monkeypatch, order):
     """Also where all rows of the key have one day and one second."""
     rows = [(1, i, f"{i:03d}", dt.date(2025, 1, 1), dt.datetime(2025, 1, 1), i, float(i) if i % 7 == 0 else None) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, n int, name string, day date, at timestamp_ntz, i int, v double").repartition(4)
     for rows_ in (5, 1_000):
         got = impute.fill_forward(df, "v", ["k"], order, ["i"], chunk_rows=rows_)
         assert {r["i"]: r["v"] for r in got.collect()} == {i: float(i - i % 7) for i in range(100)}
-    chunked, chunk = impute._chunk_of_hot_keys(df, ["k"], order, ["i"], 5)
-    assert chunked.select(chunk.alias("c")).distinct().count() > 3
+    seen = []
+    over_chunks = impute._over_chunks
+    monkeypatch.setattr(impute, "_over_chunks", lambda base, *rest: seen.append(base) or over_chunks(base, *rest))
+    impute.fill_forward(df, "v", ["k"], order, ["i"], chunk_rows=5)
+    sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 30
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 7])
+def test_nearest_donors(spark, chunk_rows):
+    rng = random.Random(9)
+    rows = [
+        (i, rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, NAN, *[float(n) for n in range(40)]]),
+         rng.choice([None, None, "", "x", "y", "z"]))
+        for i in range(300)
+    ] + [(900, "alone", 1.0, None), (901, "b", 2.5, None)]
+    df = spark.createDataFrame(rows, "i int, k string, at double, v string").repartition(5)
+    donors = [(k, at, v) for _, k, at, v in rows if v and at is not None and at == at]
+
+    def wanted(k, at, v):
+        near = [(abs(at - d), value) for key, d, value in donors if key == k] if not v and at is not None and at == at else []
+        return min(near)[1] if near else v
+
+    got = impute.fill_from_nearest(df, "v", ["k"], "at", chunk_rows)
+    assert got.columns == df.columns
+    assert {r["i"]: r["v"] for r in got.collect()} == {i: wanted(k, at, v) for i, k, at, v in rows}
+
+
+def test_nearest_donors_in_time(spark):
+    rows = [(1, dt.date(2025, 1, 1), 5), (2, dt.date(2025, 1, 4), None), (3, dt.date(2025, 1, 6), 7), (4, dt.date(2025, 1, 11), None), (5, None, None)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "k int, i int, day date, v int")
+    assert {r["i"]: r["v"] for r in impute.fill_from_nearest(df, "v", ["k"], "day").collect()} == {1: 5, 2: 7, 3: 7, 4: 7, 5: None}
+    none = df.where("false")
+    assert impute.fill_from_nearest(none, "v", ["k"], "day").collect() == []
+    assert {r["v"] for r in impute.fill_from_nearest_donor(df, "v", ["k"], "day", none).collect()} == {5, 7, None}
+    with pytest.raises(ValueError, match="match key"):
+        impute.fill_from_nearest(df, "v", [], "day")
 
 
 def test_ties_of_donors_do_not_depend_on_partitions(spark):
