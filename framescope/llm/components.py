@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import stored
+from .text import stored_for_now
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -14,17 +14,18 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Alternating large-star and small-star rounds (Kiveris et al. 2014) turn the links into
     stars in a logarithmic number of rounds. The least neighbour of a node is found by a partial
     aggregation and joined back, so the neighbours of a hub are never in one task together.
-    Every round is a table in the shared folder. Links with a NULL end are none.
+    Every round is a table in the shared folder, and that of the round before is deleted. Links with a NULL end are none.
     """
     a, b = links[left], links[right]
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = stored(edges.where(a.isNotNull() & b.isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links")
+    edges = edges.where(a.isNotNull() & b.isNotNull() & (F.col("u") != F.col("v"))).distinct()
+    edges, path = stored_for_now(edges, "links")
     state = fingerprint(edges)
     while state[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = hang(both, F.col("v") > F.col("u"))
         small = hang(large, F.lit(True))
-        edges = stored(small.distinct(), "links")
+        edges, path = stored_for_now(small.distinct(), "links", path)
         now = fingerprint(edges)
         if now == state:
             break

@@ -48,6 +48,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def stored_for_now(frame: DataFrame, name: str, before: str | None = None) -> tuple[DataFrame, str]:
+    """As :func:`stored`, with the path; the table at ``before``, which nothing reads any more, is deleted."""
+    spark = frame.sparkSession
+    path = new_path(spark, name)
+    frame.write.parquet(path)
+    if before is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
 def bucket_of(part: Column, modulus: int) -> Column:
     """The remainder of the CRC-32 of an id written as text."""
     return F.crc32(part.cast("string").cast("binary")) % modulus

@@ -435,8 +435,38 @@ def test_search_keeps_every_link():
     half = len(rows) // 2
     across = [(a, b) for a, b in every if a >= half > b]
     assert component(jaccard.search(rows[:half], rows[half:])) == component(across)
-    for a, b in every:  # linked sets share a signature, or are equal
-        assert np.array_equal(rows[a], rows[b]) or np.intersect1d(jaccard.signatures(rows[a]), jaccard.signatures(rows[b])).size
+    for percent in (70, 80, 90):  # linked sets have the marks they need in common, or are equal
+        for a in range(len(rows)):
+            for b in range(a):
+                if np.array_equal(rows[a], rows[b]) or not jaccard.linked(len(np.intersect1d(rows[a], rows[b])), len(rows[a]), len(rows[b]), percent):
+                    continue
+                mine = {level: (need, marks) for level, need, marks in jaccard.signatures(rows[a], percent)}
+                assert any(
+                    np.intersect1d(marks, mine[level][1]).size >= max(need, mine[level][0], 1)
+                    for level, need, marks in jaccard.signatures(rows[b], percent)
+                    if level in mine
+                )
+
+
+def test_near_copies_in_many_blocks(spark, monkeypatch):
+    """A large group of near copies in blocks of few shingles, and columns with names of the operator's own."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [[*base[:i], f"new{n}", *base[i + 1 :]] for n, i in enumerate(rng.integers(0, 60, 40))]
+    texts += [[f"x{n}y{i}" for i in range(60)] for n in range(5)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for name in ("k", "d", "mark", "row", "_key", "group", "component"):
+        df = df.withColumn(name, F.lit("mine"))
+    kept = jaccard.keep_one(df.repartition(3), width=3, percent=80)
+    assert kept.columns == df.columns and {r["mark"] for r in kept.collect()} == {"mine"}
+    sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    assert {r["doc_id"] for r in kept.collect()} == {min(i for i, g in enumerate(group) if g == own) for own in group}
 
 
 def test_pipeline(spark, tmp_path, docs):
