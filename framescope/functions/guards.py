@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -14,3 +14,13 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     if absent:
         raise ValueError(f"required columns not found: {absent}")
     return df
+
+
+def quoted(name: str) -> str:
+    """A column's name for the places where a dot would mean a field."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column of a frame by its plain name, whatever characters that has."""
+    return df[quoted(name)]

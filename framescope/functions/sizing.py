@@ -12,6 +12,9 @@ from ..sources.scratch import new_path
 # A frame is treated as small only after a probe has seen that it has no more rows than this.
 MAX_SMALL_ROWS = 10_000
 
+# A table of short keys is broadcast up to this number.
+MAX_KEYED_ROWS = 500_000
+
 
 def settle(frame: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, list[Row] | None]:
     """Probe whether ``frame`` is small, reading at most one row more than the limit.
@@ -31,6 +34,17 @@ def settle(frame: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, li
     return spark.createDataFrame(rows, frame.schema), rows
 
 
+def keyed_table(frame: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """``frame`` written to the shared folder, and whether it has few enough rows to be broadcast.
+
+    For a table of short keys that is joined more than once, or is too long to be a local frame.
+    """
+    path = new_path(frame.sparkSession, "keyed")
+    frame.write.parquet(path)
+    written = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return written, written.count() <= (MAX_KEYED_ROWS if max_rows is None else max_rows)
+
+
 def total_of(grouped: DataFrame, column: str) -> Column:
     """Sum of a column over a grouped frame, as a scalar.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as fx
 from ..functions.guards import require_columns
+from ..functions.sizing import keyed_table, settle
 
 
 def normalise_flags(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -43,9 +44,42 @@ def coerce_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({name: fx.number_of(df, name) for name in names})
 
 
-def relabel(df: DataFrame, column: str, labels: Mapping[str, str]) -> DataFrame:
+# Rows of one value that one task should join, about.
+MAX_VALUE_ROWS = 5_000_000
+
+
+def relabel(
+    df: DataFrame, column: str, labels: Mapping[str, str] | DataFrame, hot_rows: int | None = None
+) -> DataFrame:
+    """Replace values by a dictionary; others pass through and NULL stays NULL.
+
+    A dictionary stands in the plan. A table of ``(value, label)`` is joined (of repeated values the least
+    label counts): by broadcast if it is small; else the values with more than ``hot_rows`` rows (5 million unless given), found by
+    a count, take their labels by broadcast and the others by a shuffle, so a hot value is in no task of its own.
+    """
     require_columns(df, [column])
-    return df.withColumn(column, fx.relabel(df[column], labels))
+    if not isinstance(labels, DataFrame):
+        return df.withColumn(column, fx.relabel(df[column], labels))
+    value, label = [F.col(f"`{name}`") for name in labels.columns[:2]]
+    pairs = labels.where(value.isNotNull() & label.isNotNull()).groupBy(value.alias("_value")).agg(F.min(label).alias("_label"))
+    known, small = keyed_table(pairs)
+
+    def labelled(rows: DataFrame, table: DataFrame, broadcast: bool) -> DataFrame:
+        joined = rows.join(F.broadcast(table) if broadcast else table, F.col(column) == F.col("_value"), "left")
+        named = F.coalesce(F.col("_label").cast(df.schema[column].dataType), F.col(column))
+        return joined.withColumn(column, named).select(*df.columns)
+
+    if small:
+        return labelled(df, known, True)
+    limit = MAX_VALUE_ROWS if hot_rows is None else hot_rows
+    counts = df.where(df[column].isNotNull()).groupBy(F.col(column).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot, few = settle(counts.where(F.col("_n") > limit).select("_hot"))
+    if few is None or not few:  # none, or (with a small limit) so many that none stands out
+        return labelled(df, known, False)
+    own = known.join(F.broadcast(hot), F.col("_value") == F.col("_hot"), "left_semi")
+    same = F.col(column) == F.col("_hot")
+    cold = labelled(df.join(F.broadcast(hot), same, "left_anti"), known, False)
+    return cold.unionByName(labelled(df.join(F.broadcast(hot), same, "left_semi"), own, True))
 
 
 def label_flag(df: DataFrame, column: str, when_true: str, when_false: str, into: str) -> DataFrame:

@@ -19,6 +19,7 @@ from .distribution import top_values, value_counts
 TOP_INVALID = 5
 TOP_BREAKDOWN = 6
 DUPLICATES, TYPES, VALUES = "Duplicate Rows", "Wrong Data Types", "Inconsistent Values"
+MALFORMED = "Malformed Rows"
 ISSUE, WARNING = "issue", "warning"
 
 
@@ -239,16 +240,35 @@ def _findings(df: DataFrame, expected: Expectations) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("found", found)
 
 
-def exception_report(df: DataFrame, expected: Expectations) -> DataFrame:
+def malformed_finding(df: DataFrame, malformed: DataFrame) -> DataFrame:
+    """The rows of a source that could not be read, as a finding of the exception report; empty if there are none."""
+    whole = df.agg(F.count(F.lit(1))).scalar()
+    counted = malformed.agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("n > 0").select(
+        F.lit(MALFORMED).alias("section"),
+        F.lit("").alias("column"),
+        F.lit("rows that could not be read").alias("finding"),
+        "n",
+        percent(F.col("n"), F.col("n") + whole).alias("pct"),
+        F.lit(ISSUE).alias("severity"),
+        F.lit("wrong number of fields, or values of another type").alias("note"),
+    )
+
+
+def exception_report(df: DataFrame, expected: Expectations, malformed: DataFrame | None = None) -> DataFrame:
     """``(section, column, finding, n, pct, severity, note)``: exceptions only.
 
+    ``malformed`` are the rows that were put aside when the source was read; they are a
+    section of their own.
+
     Two scans: one that groups by the keys, and one that counts every other condition. A
     wrong type is reported when the stored type is not the expected one; its count is the
     number of values that would not convert.
     """
-    return _findings(df, expected).where("found").select(
+    report = _findings(df, expected).where("found").select(
         "section", "column", "finding", "n", "pct", "severity", "note"
     )
+    return report if malformed is None else report.unionByName(malformed_finding(df, malformed))
 
 
 def exception_breakdown(df: DataFrame, expected: Expectations) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tx
-from ..functions.guards import require_columns
+from ..functions.guards import column, require_columns
+from ..functions.periods import period_start
+from ..functions.sizing import keyed_table
 from ..functions.wordlists import ENGLISH_STOPWORDS, FILIPINO_STOPWORDS, TOPIC_NOISE
 
 DEFAULT_STOPWORDS = frozenset(ENGLISH_STOPWORDS) | frozenset(FILIPINO_STOPWORDS) | frozenset(TOPIC_NOISE)
 
+# A list of stop words: in the plan, or a table whose first column has them in lower case.
+Stopwords = Iterable[str] | DataFrame
+
 # List lengths of the text report.
 TOP_KEYWORDS = 15
 TOP_SUBLISTS = 10
@@ -22,11 +28,49 @@ def _count(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _without_listed(words: DataFrame, column: str, stopwords: DataFrame) -> DataFrame:
+    """The rows whose word is not in the table; NULL stays. The table is broadcast by a check of its size."""
+    listed, small = keyed_table(stopwords.select(F.col(f"`{stopwords.columns[0]}`").alias("_stop")).where("_stop IS NOT NULL").distinct())
+    return words.join(F.broadcast(listed) if small else listed, words[column] == listed["_stop"], "left_anti")
+
+
+def _tokens_by_table(df: DataFrame, text: str, stopwords: DataFrame, into: str) -> DataFrame:
+    """:func:`clean_tokens` for a table of stop words.
+
+    Each word becomes a row with its place, the listed ones fall away in a join, and the rest is
+    put together again in order. The row itself travels once, beside a place of its own.
+    """
+    row = F.struct(*[column(df, name).alias(name) for name in df.columns])
+    words = F.transform(tx.candidates(F.col("_bare")), lambda word: F.lower(word))
+    bare = df.select(F.monotonically_increasing_id().alias("_row"), row.alias("_all"), tx.without_marks(df[text]).alias("_bare"))
+    nothing = F.lit(None)
+    head = F.array(F.struct(F.lit(-1).alias("at"), nothing.cast("string").alias("word"), F.col("_all").alias("row"), F.col("_bare").isNull().alias("missing")))
+    empty = nothing.cast(bare.schema["_all"].dataType)
+    tail = F.transform(words, lambda word, at: F.struct(at.alias("at"), word.alias("word"), empty.alias("row"), nothing.cast("boolean").alias("missing")))
+    listed = bare.select("_row", F.explode(F.concat(head, F.coalesce(tail, F.slice(head, 1, 0)))).alias("w"))
+    places = listed.select("_row", "w.at", F.col("w.word").alias("_word"), "w.row", "w.missing")
+    kept = _without_listed(places, "_word", stopwords)
+    found = kept.groupBy("_row").agg(
+        F.first("row", ignorenulls=True).alias("_all"),
+        F.first("missing", ignorenulls=True).alias("_missing"),
+        F.array_sort(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("at", "_word")))).alias("_words"),
+    )
+    tokens = F.when(~F.col("_missing"), F.transform("_words", lambda w: w["_word"]))
+    fields = [F.col("_all").getField(name).alias(name) for name in df.columns if name != into]
+    return found.select(*fields, tokens.alias(into))
+
+
 def clean_tokens(
-    df: DataFrame, text: str = "text", stopwords: Iterable[str] = DEFAULT_STOPWORDS, into: str = "tokens"
+    df: DataFrame, text: str = "text", stopwords: Stopwords = DEFAULT_STOPWORDS, into: str = "tokens"
 ) -> DataFrame:
-    """Add the ordered keywords of each text as an array."""
+    """Add the ordered keywords of each text as an array.
+
+    A short list of stop words stands in the plan. A long one is a table (its first column, in
+    lower case): it is joined, on a checked size by broadcast, and every text is put together again.
+    """
     require_columns(df, [text])
+    if isinstance(stopwords, DataFrame):
+        return _tokens_by_table(df, text, stopwords, into)
     # The text without marks is a column of its own so that it is computed once per row.
     bare = df.withColumn("_bare", tx.without_marks(df[text]))
     return bare.withColumn(into, tx.keyword_tokens(F.col("_bare"), stopwords)).drop("_bare")
@@ -38,10 +82,12 @@ def clean_tokens(
 
 
 def keywords(
-    df: DataFrame, text: str = "text", stopwords: Iterable[str] = DEFAULT_STOPWORDS
+    df: DataFrame, text: str = "text", stopwords: Stopwords = DEFAULT_STOPWORDS
 ) -> DataFrame:
     """``(term, n)`` over all texts.
 
+    A table of stop words is joined to the counted terms, one row per distinct word.
+
     The stop words are tested after the explode, in generated code, and the words are counted
     in each task before the shuffle, so a very frequent word is no hot key.
     """
@@ -49,6 +95,8 @@ def keywords(
     bare = df.select(tx.without_marks(df[text]).alias("_bare"))
     words = bare.select(F.explode(tx.candidates(F.col("_bare"))).alias("_word"))
     terms = words.select(F.lower("_word").alias("term"))
+    if isinstance(stopwords, DataFrame):
+        return _without_listed(_count(terms), "term", stopwords)
     return _count(terms.where(~tx.is_stopword(F.col("term"), stopwords)))
 
 
@@ -59,7 +107,7 @@ def hashtags(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bigrams(
-    df: DataFrame, text: str = "text", stopwords: Iterable[str] = DEFAULT_STOPWORDS
+    df: DataFrame, text: str = "text", stopwords: Stopwords = DEFAULT_STOPWORDS
 ) -> DataFrame:
     """``(term, n)`` of adjacent keywords within a text."""
     tokens = clean_tokens(df.select(text), text, stopwords, into="_tokens")
@@ -77,22 +125,71 @@ def numeric_mentions(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def text_kpis(df: DataFrame, text: str = "text") -> DataFrame:
-    """``(rows, hashtag_uses, unique_hashtags, numeric_mentions)``; rows without text count."""
-    tags = hashtags(df, text).agg(
-        F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("uses"), F.count(F.lit(1)).alias("unique"))
+    """``(rows, hashtag_uses, unique_hashtags, numeric_mentions)``; rows without text count.
+
+    One scan: each text gives its hashtags and one row without a tag that holds its mentions.
+    """
+    require_columns(df, [text])
+    none = F.array().cast("array<string>")
+    listed = df.select(
+        F.coalesce(tx.hashtags(df[text]), none).alias("_tags"),
+        F.coalesce(tx.numeric_mentions(df[text]), F.lit(0)).cast("bigint").alias("_mentions"),
     )
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(tx.numeric_mentions(df[text]).cast("bigint")), F.lit(0)).alias("numeric_mentions"),
+    tags = F.transform("_tags", lambda tag: F.struct(tag.alias("tag"), F.lit(0).cast("bigint").alias("mentions")))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("tag"), F.col("_mentions").alias("mentions")))
+    per_tag = listed.select(F.inline(F.concat(own, tags))).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum("mentions").alias("mentions"))
+    return per_tag.agg(
+        F.coalesce(F.sum(F.when(F.col("tag").isNull(), F.col("n"))), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("tag").isNotNull(), F.col("n"))), F.lit(0)).alias("hashtag_uses"),
+        F.count("tag").alias("unique_hashtags"),
+        F.coalesce(F.sum("mentions"), F.lit(0)).alias("numeric_mentions"),
     )
-    return counted.withColumn("_tags", tags.scalar()).select(
-        "rows",
-        F.col("_tags.uses").alias("hashtag_uses"),
-        F.col("_tags.unique").alias("unique_hashtags"),
-        "numeric_mentions",
+
+
+def hashtag_sketches(df: DataFrame, ts: str, text: str = "text", freq: str = "D", log_size: int = 12) -> DataFrame:
+    """``(period, hashtag_uses, sketch)``: a mergeable sketch of the distinct hashtags of each period."""
+    require_columns(df, [ts, text])
+    used = df.where(df[ts].isNotNull()).select(period_start(df[ts], freq).alias("period"), F.explode(tx.hashtags(df[text])).alias("_tag"))
+    return used.groupBy("period").agg(
+        F.count(F.lit(1)).alias("hashtag_uses"), F.hll_sketch_agg("_tag", F.lit(log_size)).alias("sketch")
+    )
+
+
+def unique_hashtags(sketches: DataFrame, by: Iterable[str] = (), log_size: int = 12) -> DataFrame:
+    """``(…, hashtag_uses, unique_hashtags, low, high)`` of merged sketches.
+
+    ``low`` and ``high`` are three relative standard errors (1.04 / sqrt of the registers) away.
+    """
+    merged = sketches.groupBy(*by).agg(F.sum("hashtag_uses").alias("hashtag_uses"), F.hll_union_agg("sketch").alias("_sketch"))
+    error = 3 * 1.04 / math.sqrt(1 << log_size)
+    found = merged.withColumn("unique_hashtags", F.hll_sketch_estimate("_sketch"))
+    estimate = F.col("unique_hashtags")
+    return found.select(
+        *by, "hashtag_uses", "unique_hashtags",
+        F.floor(estimate / (1 + error)).alias("low"), F.ceil(estimate / (1 - error)).alias("high"),
     )
 
 
+def frequent_terms(
+    df: DataFrame, text: str = "text", stopwords: Iterable[str] = DEFAULT_STOPWORDS, k: int = TOP_KEYWORDS, tracked: int = 10_000
+) -> DataFrame:
+    """``(rank, term, n, max_error)``: the ``k`` most frequent keywords from a sketch of ``tracked`` terms.
+
+    No word is shuffled: each task sends its sketch. A count is wrong by at most ``max_error``, 3.5 / ``tracked`` of
+    all keywords (0 where the sketch holds every term), so a term whose count is further from the last rank is never missed.
+    """
+    require_columns(df, [text])
+    bare = df.select(tx.without_marks(df[text]).alias("_bare"))
+    words = bare.select(F.explode(tx.candidates(F.col("_bare"))).alias("_word")).select(F.lower("_word").alias("_word"))
+    kept = words.where(~tx.is_stopword(F.col("_word"), stopwords))
+    size = 1 << math.ceil(math.log2(tracked / 0.75))
+    top = F.call_function("approx_top_k", F.col("_word"), F.lit(k), F.lit(tracked))
+    found = kept.agg(top.alias("_top"), F.count(F.lit(1)).alias("_all"), F.approx_count_distinct("_word").alias("_terms"))
+    error = F.when(F.col("_terms") * 1.2 < tracked, F.lit(0)).otherwise(F.ceil(F.col("_all") * F.lit(3.5 / size)))
+    listed = found.select(F.posexplode("_top").alias("_at", "_item"), error.cast("bigint").alias("max_error"))
+    return listed.select((F.col("_at") + 1).alias("rank"), F.col("_item.item").alias("term"), F.col("_item.count").alias("n"), "max_error")
+
+
 def ranked(counts: DataFrame, k: int) -> DataFrame:
     """``(rank, term, n)``: the ``k`` most frequent terms; equal counts are ordered by term."""
     best = counts.orderBy(F.desc("n"), F.asc("term")).limit(k)
@@ -105,7 +202,7 @@ def ranked(counts: DataFrame, k: int) -> DataFrame:
 def top_terms(
     df: DataFrame,
     text: str = "text",
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Stopwords = DEFAULT_STOPWORDS,
     top: int = TOP_KEYWORDS,
 ) -> DataFrame:
     """``(kind, rank, term, n)``: top keywords, hashtags and bigrams from one scan.

@@ -127,6 +127,21 @@ def relabel(t: Tables) -> DataFrame:
     return clean.relabel(t.documents.select("doc_id", "lang"), "lang", LANGUAGE_LABELS)
 
 
+@query(
+    "relabel_by_table",
+    """
+    SELECT o_orderkey, coalesce(c.c_name, o.key) AS customer
+    FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'none' ELSE o_custkey::VARCHAR END AS key FROM orders) o
+    LEFT JOIN customer c ON o.key = c.c_custkey::VARCHAR
+    """,
+)
+def relabel_by_table(t: Tables) -> DataFrame:
+    """Keys to names by a table that grows with the data; the hot value ``none`` is not in it."""
+    key = F.when(F.col("o_orderstatus") == "O", "none").otherwise(F.col("o_custkey").cast("string"))
+    names = t.customer.select(F.col("c_custkey").cast("string").alias("key"), "c_name")
+    return clean.relabel(t.orders.select("o_orderkey", key.alias("customer")), "customer", names)
+
+
 @query(
     "flag_labels",
     """

@@ -149,3 +149,86 @@ def ranked_keywords(t: Tables) -> DataFrame:
 )
 def top_terms(t: Tables) -> DataFrame:
     return textstats.top_terms(posts(t))
+
+
+# A long stop list: every word of the conversations, as a table.
+LISTED_SQL = """
+    SELECT DISTINCT unnest(string_split(lower(regexp_replace(text, '[^0-9A-Za-z]+', ' ', 'g')), ' ')) AS word FROM conversations
+"""
+
+
+def listed_words(t: Tables) -> DataFrame:
+    words = F.split(F.lower(F.regexp_replace("text", "[^0-9A-Za-z]+", " ")), " ")
+    return t.conversations.select(F.explode(words).alias("word")).distinct()
+
+
+def _unlisted_sql(source: str) -> str:
+    """Keywords in order as rows, without those of the long list."""
+    plain = _tokens_sql(source).replace(f" AND w NOT IN ({STOP})", "")
+    return f"""
+    SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at
+    FROM (SELECT doc_id, tokens[i] AS word, i FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM ({plain})))
+    WHERE word NOT IN (SELECT word FROM ({LISTED_SQL}) WHERE word IS NOT NULL)
+    """
+
+
+@query(
+    "keywords_by_table",
+    f"SELECT word AS term, count(*) AS n FROM ({_unlisted_sql('SELECT doc_id, text FROM documents')}) GROUP BY 1",
+)
+def keywords_by_table(t: Tables) -> DataFrame:
+    return textstats.keywords(spread(t.documents), stopwords=listed_words(t))
+
+
+@query(
+    "bigrams_by_table",
+    f"""
+    WITH w AS ({_unlisted_sql('SELECT doc_id, text FROM documents')})
+    SELECT a.word || ' ' || b.word AS term, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.at = a.at + 1 GROUP BY 1
+    """,
+)
+def bigrams_by_table(t: Tables) -> DataFrame:
+    return textstats.bigrams(spread(t.documents), stopwords=listed_words(t))
+
+
+@query(
+    "frequent_terms",
+    f"SELECT least(15, count(*)) AS reported, least(15, count(*)) AS within, 0::BIGINT AS missed FROM ({_keywords_sql('SELECT doc_id, text FROM documents')})",
+)
+def frequent_terms(t: Tables) -> DataFrame:
+    """Sketched terms held against exact counts: how many are within their bound, and which should be listed."""
+    exact = textstats.keywords(spread(t.documents)).withColumnRenamed("n", "exact")
+    found = textstats.frequent_terms(spread(t.documents)).select("term", "n", "max_error")
+    both = exact.join(found, "term", "left")
+    last = found.agg(F.struct(F.min("n").alias("n"), F.max("max_error").alias("e"))).scalar()
+    return both.agg(
+        F.count("n").alias("reported"),
+        F.count_if(F.abs(F.col("n") - F.col("exact")) <= F.col("max_error")).alias("within"),
+        F.count_if(F.col("n").isNull() & (F.col("exact") > last["n"] + last["e"])).alias("missed"),
+    )
+
+
+TAGGED_SQL = "SELECT ts, concat('#', event_type, ' #user', user_id::VARCHAR, ' #e', event_id::VARCHAR) AS text FROM events"
+
+
+@query(
+    "unique_hashtags",
+    f"""
+    WITH tags AS (SELECT date_trunc('week', ts)::TIMESTAMP AS period, unnest(regexp_extract_all(text, '#({WORD})', 1)) AS tag FROM ({TAGGED_SQL}))
+    SELECT period, count(*) AS hashtag_uses, count(DISTINCT tag) AS exact, true AS covered FROM tags GROUP BY 1
+    UNION ALL SELECT NULL, count(*), count(DISTINCT tag), true FROM tags
+    """,
+)
+def unique_hashtags(t: Tables) -> DataFrame:
+    """Sketches of weeks, and of all of them merged, held against exact distinct counts."""
+    text = F.concat(F.lit("#"), "event_type", F.lit(" #user"), F.col("user_id").cast("string"), F.lit(" #e"), F.col("event_id").cast("string"))
+    tagged = t.events.select("ts", text.alias("text"))
+    sketches = textstats.hashtag_sketches(tagged, "ts", freq="W")
+    period = F.date_trunc("week", "ts").cast("timestamp_ntz").alias("period")
+    tags = tagged.select(period, F.explode(F.split("text", " ")).alias("tag"))
+    weeks = textstats.unique_hashtags(sketches, ["period"]).join(tags.groupBy("period").agg(F.count_distinct("tag").alias("exact")), "period")
+    whole = textstats.unique_hashtags(sketches).withColumns(
+        {"period": F.lit(None).cast("timestamp_ntz"), "exact": tags.agg(F.count_distinct("tag")).scalar()}
+    )
+    covered = F.col("exact").between(F.col("low"), F.col("high"))
+    return weeks.unionByName(whole).select("period", "hashtag_uses", "exact", covered.alias("covered"))

@@ -8,16 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.guards import column
 from ..functions.wordlists import NA_TOKENS
 
 FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json", "orc": "orc"}
 COMPRESSIONS = ("gz", "bz2", "zst", "xz")
 
 
+# The column that keeps the text of a malformed row.
+CORRUPT = "_corrupt_record"
+
+
 def mark_missing(df: DataFrame, tokens: Sequence[str] = tuple(NA_TOKENS)) -> DataFrame:
     """Turn the texts that stand for a missing value into NULL, in every text column."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(~df[c].isin(*tokens), df[c]) for c in texts})
+    columns = []
+    for field in df.schema.fields:
+        value = column(df, field.name)
+        if isinstance(field.dataType, T.StringType) and field.name != CORRUPT:
+            value = F.when(~value.isin(*tokens), value)
+        columns.append(value.alias(field.name))
+    return df.select(*columns)
+
+
+def split_malformed(df: DataFrame, corrupt: str = CORRUPT) -> tuple[DataFrame, DataFrame]:
+    """The rows that could be read, without the column of malformed ones; and those, as ``record``."""
+    value = column(df, corrupt)
+    rows = df.where(value.isNull()).select(*[column(df, c) for c in df.columns if c != corrupt])
+    return rows, df.where(value.isNotNull()).select(value.alias("record"))
 
 
 def read_csv(
@@ -27,16 +44,26 @@ def read_csv(
     infer: bool = False,
     tokens: Sequence[str] = tuple(NA_TOKENS),
     multi_line: bool = True,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """CSV with a header and quoted fields that may span lines.
 
     Such a file cannot be split, so large inputs should be ingested once (see ``ingest``), or
     read without ``multi_line`` where no field spans lines.
     Without a schema every column is text, unless ``infer`` asks for a scan that guesses.
+    ``corrupt`` names a column that takes the text of rows with too few or too many fields, or
+    with values that are not of the schema's types; it needs a schema, as only that says what is wrong.
     """
     reader = spark.read.options(
         header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE"
     )
+    if corrupt is not None:
+        if schema is None:
+            raise ValueError("malformed rows can only be told by a schema")
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        schema = T.StructType([*fields.fields, T.StructField(corrupt, T.StringType())])
+        # An unused field would not be parsed, so its faults would go unseen.
+        reader = reader.options(columnNameOfCorruptRecord=corrupt, enforceSchema=True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
     return mark_missing(reader.csv(path), tokens)
 
@@ -59,13 +86,14 @@ def as_frame(
     schema: T.StructType | str | None = None,
     infer: bool = False,
     multi_line: bool = True,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """A DataFrame as it is, or the table at a path; the last two are for CSV (``read_csv``)."""
+    """A DataFrame as it is, or the table at a path; the last three are for CSV (``read_csv``)."""
     if isinstance(source, DataFrame):
         return source
     kind = format_of(source)
     if kind == "csv":
-        return read_csv(spark, source, schema, infer, multi_line=multi_line)
+        return read_csv(spark, source, schema, infer, multi_line=multi_line, corrupt=corrupt)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.format(kind).load(source)
 

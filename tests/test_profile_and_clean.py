@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from framescope.functions import sizing
 from framescope.functions.wordlists import LANGUAGE_LABELS, METRIC_RENAMES
 from framescope.operators import clean, profile
 
@@ -119,3 +120,30 @@ def test_first_per_key_keeps_the_first_and_one_null_key(spark):
     for partitions in (1, 3):
         assert set(one(clean.first_per_key(df.repartition(partitions), ["key"], ["at"]))) == wanted
     assert clean.first_per_key(df, ["key"], ["at"]).columns == df.columns
+
+
+@pytest.mark.parametrize("limit, hot_rows", [(500_000, None), (1, None), (1, 3)])
+def test_relabel_by_a_table(spark, monkeypatch, limit, hot_rows):
+    monkeypatch.setattr(sizing, "MAX_KEYED_ROWS", limit)
+    values = ["hot"] * 10 + ["none"] * 8 + ["a", "b", "c", None, ""]
+    df = spark.createDataFrame(list(enumerate(values)), "_value int, v string").repartition(3)
+    table = spark.createDataFrame([("hot", "HOT"), ("a", "z"), ("a", "A"), ("b", None), (None, "never"), ("x", "X"), ("", "blank")], "from string, to string")
+    wanted = {"hot": "HOT", "a": "A", "": "blank"}
+    got = clean.relabel(df.withColumnRenamed("_value", "i"), "v", table, hot_rows)
+    assert got.columns == ["i", "v"]
+    assert {r["i"]: r["v"] for r in got.collect()} == {i: wanted.get(v, v) for i, v in enumerate(values)}
+
+
+def test_ids_of_many_digits(spark):
+    df = spark.createDataFrame([(1e19,), (1e20,), (9.3e18,), (1.5,), (2.0,), (1e39,), (-3.0,), (float("nan"),), (None,)], "id double")
+    got = [r["id"] for r in clean.ids_to_text(df, ["id"]).collect()]
+    assert got[:5] == ["1" + "0" * 19, "1" + "0" * 20, "93" + "0" * 17, "1.5", "2"] and got[6:] == ["-3", None, None]
+
+
+def test_numbers_are_coerced_by_type(spark):
+    df = spark.sql("select 1 i, cast('NaN' as double) d, cast(1.5 as float) f, cast(2.5 as decimal(5,2)) c, true b, '1d' s, ' 7 ' t, 'x' u, cast(null as int) n")
+    got = clean.coerce_numbers(df, df.columns)
+    assert {t for _, t in got.dtypes} == {"double"}
+    assert tuple(got.collect()[0]) == (1.0, None, 1.5, 2.5, 1.0, None, 7.0, None, None)
+    plan = got.select("i", "f")._jdf.queryExecution().executedPlan().toString()
+    assert "rlike" not in plan.lower()

@@ -96,3 +96,52 @@ def test_spread_only_when_asked(spark):
         assert readers.spread(narrow).rdd.getNumPartitions() == 3
     finally:
         spark.conf.unset("framescope.spread.partitions")
+
+
+RAGGED = "id,text,lang\n1,a,en\n2,b\n3,c,fr,extra\nx,d,de\n5,NA,es\n"
+
+
+def test_malformed_rows_are_put_aside_and_reported(spark, tmp_path):
+    from framescope.operators import quality
+
+    path = tmp_path / "ragged.csv"
+    path.write_text(RAGGED)
+    schema = "id int, text string, lang string"
+    frame = readers.read_csv(spark, str(path), schema, corrupt=readers.CORRUPT)
+    assert frame.columns == ["id", "text", "lang", readers.CORRUPT]
+    aside = str(tmp_path / "aside")
+    rows = ingest.ingest(spark, str(path), str(tmp_path / "rows"), schema, quarantine=aside)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "a", "en"), (5, None, "es")]
+    malformed = spark.read.parquet(aside)
+    assert sorted(r["record"] for r in malformed.collect()) == ["2,b", "3,c,fr,extra", "x,d,de"]
+    report = [tuple(r)[:5] for r in quality.exception_report(rows, quality.Expectations(), malformed).collect()]
+    assert report == [("Malformed Rows", "", "rows that could not be read", 3, 60.0)]
+    assert quality.exception_report(rows, quality.Expectations(), malformed.where("false")).collect() == []
+    with pytest.raises(ValueError, match="schema"):
+        readers.read_csv(spark, str(path), corrupt=readers.CORRUPT)
+
+
+def test_a_changed_source_is_ingested_again_on_request(spark, csv, tmp_path, monkeypatch):
+    target = str(tmp_path / "posts.parquet")
+    assert ingest.ingest(spark, csv, target, refresh=True).count() == 4
+    stamp = sorted(os.listdir(target))
+    assert ingest.ingest(spark, csv, target, refresh=True).count() == 4
+    assert sorted(os.listdir(target)) == stamp
+    with open(csv, "a") as more:
+        more.write("5,new,en\n")
+    seen = []
+    swap = ingest.swap
+    # A reader between the write and the swap sees the whole old table.
+    monkeypatch.setattr(ingest, "swap", lambda s, staged, place: seen.append(s.read.parquet(place).count()) or swap(s, staged, place))
+    assert ingest.ingest(spark, csv, target, refresh=True).count() == 5
+    assert seen == [4] and sorted(p for p in os.listdir(tmp_path) if "parquet" in p) == ["posts.parquet"]
+
+
+def test_names_with_dots(spark, tmp_path):
+    from framescope.operators import profile
+
+    path = tmp_path / "dotted.csv"
+    path.write_text("a.b,c`d\nNA,1\n2,\n")
+    df = readers.read_csv(spark, str(path))
+    assert [tuple(r) for r in df.collect()] == [(None, "1"), ("2", None)]
+    assert {(r["column"], r["n_missing"]) for r in profile.missing_report(df).collect()} == {("a.b", 1), ("c`d", 1)}

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from framescope.functions import sizing
 from framescope.functions import tokens as tx
 from framescope.functions.wordlists import ENGLISH_STOPWORDS
 from framescope.operators import textstats
@@ -82,3 +83,39 @@ def test_top_terms_are_the_heads_of_the_three_counts(spark):
         best = sorted(counter.items(), key=lambda item: (-item[1], item[0]))[:k]
         rows = sorted((r["rank"], r["term"], r["n"]) for r in got if r["kind"] == kind)
         assert rows == [(i + 1, sign + term, n) for i, (term, n) in enumerate(best)]
+
+
+LISTED = ["alpha", "gamma", "unused", None]
+LONG = [("Alpha beta gamma delta beta",), (None,), ("",), ("alpha gamma",), ("beta, alpha beta",), ("beta, alpha beta",)]
+
+
+@pytest.mark.parametrize("limit", [500_000, 1])
+def test_a_table_of_stop_words_is_the_same_as_a_list(spark, monkeypatch, limit):
+    monkeypatch.setattr(sizing, "MAX_KEYED_ROWS", limit)
+    df = spark.createDataFrame([(i, "x", t) for i, (t,) in enumerate(LONG)], "`_row` int, `my.at` string, text string").repartition(3)
+    table = spark.createDataFrame([(w, 1) for w in LISTED], "word string, n int")
+    plain = [w for w in LISTED if w]
+    for made in (textstats.keywords, textstats.bigrams, textstats.top_terms):
+        assert sorted(map(tuple, made(df, stopwords=table).collect())) == sorted(map(tuple, made(df, stopwords=plain).collect()))
+    got = textstats.clean_tokens(df, stopwords=table)
+    assert got.columns == ["_row", "my.at", "text", "tokens"]
+    key = lambda r: r["_row"]
+    assert sorted(got.collect(), key=key) == sorted(textstats.clean_tokens(df, stopwords=plain).collect(), key=key)
+
+
+def test_sketches_keep_their_bounds(spark):
+    words = [f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}" for i in range(1000)]
+    texts = [(" ".join(["often"] * 50 + ["second"] * 30 + words),), (None,), (" ".join(words),)]
+    df = spark.createDataFrame(texts, "text string").repartition(2)
+    exact = {r["term"]: r["n"] for r in textstats.keywords(df).collect()}
+    for tracked in (200, 10_000):
+        found = textstats.frequent_terms(df, k=2, tracked=tracked).collect()
+        assert [r["term"] for r in found] == ["often", "second"] and [r["rank"] for r in found] == [1, 2]
+        assert all(abs(r["n"] - exact[r["term"]]) <= r["max_error"] for r in found)
+        assert (found[0]["max_error"] == 0) == (tracked == 10_000)
+
+
+def test_kpis_of_nothing(spark):
+    df = spark.createDataFrame([(None,), ("no tags",)], "text string")
+    assert tuple(textstats.text_kpis(df).collect()[0]) == (2, 0, 0, 0)
+    assert tuple(textstats.text_kpis(df.where("false")).collect()[0]) == (0, 0, 0, 0)
