@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .guards import by_name
+
 # The spellings of "true" that are accepted, compared in lower case.
 TRUE_TOKENS = ("true", "1", "yes")
 
@@ -79,7 +81,7 @@ def to_number(value: Column, dtype: T.DataType | None = None) -> Column:
 
 def number_of(df: DataFrame, name: str) -> Column:
     """A column of a frame as a double, by its type."""
-    return to_number(df[name], df.schema[name].dataType)
+    return to_number(by_name(df, name), df.schema[name].dataType)
 
 
 def positive(value: Column, dtype: T.DataType | None = None) -> Column:
@@ -90,7 +92,7 @@ def positive(value: Column, dtype: T.DataType | None = None) -> Column:
 
 def positive_of(df: DataFrame, name: str) -> Column:
     """A column of a frame where it is a number above zero."""
-    return positive(df[name], df.schema[name].dataType)
+    return positive(by_name(df, name), df.schema[name].dataType)
 
 
 def relabel(value: Column, labels: Mapping[str, str]) -> Column:

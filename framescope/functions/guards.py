@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 
@@ -21,6 +21,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def column(df: DataFrame, name: str) -> Column:
+def by_name(df: DataFrame, name: str) -> Column:
     """A column of a frame by its plain name, whatever characters that has."""
     return df[quoted(name)]
+
+
+def quoted_all(names: Iterable[str]) -> list[str]:
+    return [quoted(name) for name in names]
+
+
+def own_columns(df: DataFrame) -> Sequence[str]:
+    """All columns of a frame, to select them by their plain names."""
+    return quoted_all(df.columns)

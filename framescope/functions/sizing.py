@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
+from .guards import by_name
 
 # A frame is treated as small only after a probe has seen that it has no more rows than this.
 MAX_SMALL_ROWS = 10_000
@@ -51,7 +52,7 @@ def total_of(grouped: DataFrame, column: str) -> Column:
     The other columns are asked for too: with the same columns, this branch is the same
     aggregation as that of the caller, and Spark runs its scan and shuffle once for both.
     """
-    others = [F.max(name).alias(name) for name in grouped.columns if name != column]
+    others = [F.max(by_name(grouped, name)).alias(name) for name in grouped.columns if name != column]
     return grouped.agg(F.struct(F.sum(column).alias("_total"), *others)).scalar()["_total"]
 
 
@@ -75,6 +76,6 @@ def null_safe_join(
         renamed = F.broadcast(renamed)
     condition = None
     for key in keys:
-        same = left[key].eqNullSafe(renamed[f"__right_{key}"])
+        same = by_name(left, key).eqNullSafe(by_name(renamed, f"__right_{key}"))
         condition = same if condition is None else condition & same
     return left.join(renamed, condition, how).drop(*[f"__right_{key}" for key in keys])

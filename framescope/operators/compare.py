@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import percent, positive_of
-from ..functions.guards import require_columns
+from ..functions.guards import quoted, require_columns
 from ..functions.sizing import total_of
 from .distribution import group_stats
 
@@ -29,7 +29,7 @@ def metric_means_by_group(
 ) -> DataFrame:
     """``(group, mean_<metric>…, rows, pct)``: means over the positives of each metric."""
     require_columns(df, [*metrics, group])
-    grouped = df.groupBy(F.col(group).alias("group")).agg(
+    grouped = df.groupBy(F.col(quoted(group)).alias("group")).agg(
         *[F.coalesce(F.avg(positive_of(df, m)), F.lit(0.0)).alias(f"mean_{m}") for m in metrics],
         F.count(F.lit(1)).alias("rows"),
     )
@@ -56,15 +56,15 @@ def composition(
     ``metric_mean`` (over its positives) and ``group_rows`` stand beside, from the same scan.
     """
     require_columns(df, [group, part, *([metric] if metric else [])])
-    source = df.where(F.col(group).isin(*groups)) if groups else df
+    source = df.where(F.col(quoted(group)).isin(*groups)) if groups else df
     beside = ["metric_mean", "group_rows"] if metric else []
     extra = [
         F.coalesce(F.avg(positive_of(df, metric)), F.lit(0.0)).alias("metric_mean"),
         F.count(F.lit(1)).alias("group_rows"),
     ] if metric else []
-    counted = source.groupBy(F.col(group).alias("group")).agg(
-        F.count(F.col(part)).alias("_all"),
-        *[F.count_if(F.col(part) == F.lit(p)).alias(f"p{i}") for i, p in enumerate(parts)],
+    counted = source.groupBy(F.col(quoted(group)).alias("group")).agg(
+        F.count(F.col(quoted(part))).alias("_all"),
+        *[F.count_if(F.col(quoted(part)) == F.lit(p)).alias(f"p{i}") for i, p in enumerate(parts)],
         *extra,
     )
     entries = [
@@ -110,7 +110,7 @@ def trait_means(
     limit_to = limit_to or {}
 
     def entry(trait: str, column: str) -> Column:
-        group = F.col(column).cast("string")
+        group = F.col(quoted(column)).cast("string")
         if trait in limit_to:
             group = F.when(group.isin(*limit_to[trait]), group)
         return F.struct(F.lit(trait).alias("trait"), group.alias("group"))

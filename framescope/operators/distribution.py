@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binning as bins
 from ..functions.cleaning import number_of, percent, positive_of
-from ..functions.guards import require_columns
+from ..functions.guards import quoted, require_columns
 from ..functions.quantiles import summarise
 
 # Sizes of the report lists.
@@ -21,7 +21,7 @@ OTHERS = "Others"
 def _count_rows(df: DataFrame, column: str) -> DataFrame:
     """``(value, _rows)`` with the NULL group; the one shuffle that the counts below share."""
     require_columns(df, [column])
-    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_rows"))
+    return df.groupBy(F.col(quoted(column)).alias("value")).agg(F.count(F.lit(1)).alias("_rows"))
 
 
 def _known(counted: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def group_stats(
     summary = summarise(df, positive_of(df, metric), [group], probs)
     zero = F.lit(0.0)
     return summary.select(
-        F.col(group).alias("group"),
+        F.col(quoted(group)).alias("group"),
         F.coalesce("mean", zero).alias("mean"),
         *[
             F.coalesce(F.col("quantiles")[i], zero).alias(f"p{round(p * 100)}")

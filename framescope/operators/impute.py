@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from ..functions.cleaning import is_missing
-from ..functions.guards import require_columns
+from ..functions.guards import by_name, own_columns, quoted, quoted_all, require_columns
 from ..functions.quantiles import summarise
 from ..functions.sizing import null_safe_join, settle
 from ..sources.scratch import new_path
@@ -30,16 +30,16 @@ MAX_RANGES = 100_000
 def _filled(df: DataFrame, column: str, value: Column) -> Column:
     """The column with its missing values replaced, in its own type."""
     dtype = df.schema[column].dataType
-    return F.when(is_missing(df[column], dtype), value.cast(dtype)).otherwise(df[column])
+    return F.when(is_missing(by_name(df, column), dtype), value.cast(dtype)).otherwise(by_name(df, column))
 
 
 def drop_incomplete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Listwise deletion: keep only rows that are complete in the columns."""
     names = list(columns or df.columns)
     require_columns(df, names)
-    whole = ~is_missing(df[names[0]], df.schema[names[0]].dataType)
+    whole = ~is_missing(by_name(df, names[0]), df.schema[names[0]].dataType)
     for name in names[1:]:
-        whole &= ~is_missing(df[name], df.schema[name].dataType)
+        whole &= ~is_missing(by_name(df, name), df.schema[name].dataType)
     return df.where(whole)
 
 
@@ -103,7 +103,7 @@ def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
 
     def having(strategy: str) -> dict[str, Column]:
         return {
-            name: F.when(~is_missing(df[name], df.schema[name].dataType), df[name])
+            name: F.when(~is_missing(by_name(df, name), df.schema[name].dataType), by_name(df, name))
             for name, wanted in strategies.items()
             if wanted == strategy
         }
@@ -141,7 +141,7 @@ def fill_statistic(df: DataFrame, strategies: Mapping[str, str]) -> DataFrame:
 
     def filled(name: str, value: Column) -> Column:
         if strategies[name] != "mode" and isinstance(df.schema[name].dataType, exact):
-            return F.coalesce(df[name].cast("double"), value)
+            return F.coalesce(by_name(df, name).cast("double"), value)
         return _filled(df, name, value)
 
     return df.withColumns({name: filled(name, value) for name, value in values.items()})
@@ -173,7 +173,7 @@ def _around(
     if chunk is not None:
         return _over_chunks(base, keys, order, chunk, wanted, peers)
     limit = MAX_CHUNK_ROWS if most is None else most
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(*quoted_all(keys)).agg(F.count(F.lit(1)).alias("_n"))
     hot, few = settle(sizes.where(F.col("_n") > limit))
     if few is not None and not few:
         return _over_keys(base, keys, order, wanted, peers)
@@ -183,17 +183,17 @@ def _around(
     ranges = hot.agg(F.sum("_n").alias("n")).first()["n"] // max(1, limit) + 1
     # The number of the range is written with the rows: drawing the ranges again could cut elsewhere.
     path = new_path(df.sparkSession, "ranges")
-    dealt = large.repartitionByRange(int(min(ranges, MAX_RANGES)), *keys, *order)
+    dealt = large.repartitionByRange(int(min(ranges, MAX_RANGES)), *quoted_all([*keys, *order]))
     dealt.withColumn("_range", F.spark_partition_id()).write.parquet(path)
     schema = T.StructType([*large.schema.fields, T.StructField("_range", T.IntegerType())])
     placed = df.sparkSession.read.schema(schema).parquet(path)
     spread = _over_chunks(placed, keys, order, F.col("_range"), wanted, peers)
     whole = _over_keys(cold, keys, order, wanted, peers)
-    return whole.unionByName(spread.select(*whole.columns))
+    return whole.unionByName(spread.select(*own_columns(whole)))
 
 
 def _sequence(order: Sequence[str], side: str) -> list[Column]:
-    return [F.col(c).asc_nulls_first() if side == BEFORE else F.col(c).desc_nulls_last() for c in order]
+    return [F.col(quoted(c)).asc_nulls_first() if side == BEFORE else F.col(quoted(c)).desc_nulls_last() for c in order]
 
 
 def _up_to(window: WindowSpec, peers: bool) -> WindowSpec:
@@ -207,7 +207,7 @@ def _over_keys(
     """Each key in one task; the windows of both sides share one shuffle."""
     found = base
     for name, side in wanted.items():
-        window = Window.partitionBy(*keys).orderBy(*_sequence(order, side))
+        window = Window.partitionBy(*quoted_all(keys)).orderBy(*_sequence(order, side))
         found = found.withColumn(name, F.last("_v", ignorenulls=True).over(_up_to(window, peers)))
     return found
 
@@ -218,8 +218,8 @@ def _over_chunks(
     """Each chunk of a key in one task, and one row per chunk to carry values from chunk to chunk."""
     # Structs of the key and of the chunk equal one another even where they hold a NULL, so
     # the windows and the join below can use one partitioning.
-    marked = base.withColumns({"_k": F.struct(*keys), "_c": F.struct(chunk.alias("chunk"))})
-    place = F.struct(*order)
+    marked = base.withColumns({"_k": F.struct(*quoted_all(keys)), "_c": F.struct(chunk.alias("chunk"))})
+    place = F.struct(*quoted_all(order))
     held = F.when(F.col("_v").isNotNull(), place)
     edges = {BEFORE: F.max_by("_v", held), AFTER: F.min_by("_v", held)}
     ends = marked.groupBy("_k", "_c").agg(*[edges[side].alias(f"_end_{side}") for side in dict.fromkeys(wanted.values())])
@@ -232,7 +232,7 @@ def _over_chunks(
         far.append(F.last(f"_end_{side}", ignorenulls=True).over(over).alias(f"_far_{i}"))
     joined = near.join(ends.select("_k", "_c", *far), ["_k", "_c"], "left")
     return joined.select(
-        *base.columns, *[F.coalesce(f"_near_{i}", f"_far_{i}").alias(name) for i, name in enumerate(wanted)]
+        *own_columns(base), *[F.coalesce(f"_near_{i}", f"_far_{i}").alias(name) for i, name in enumerate(wanted)]
     )
 
 
@@ -249,9 +249,9 @@ def _carry(
     require_columns(df, [column, *keys, order, *ties])
     if not keys:
         raise ValueError("a fill in order needs a key")
-    value = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
+    value = F.when(~is_missing(by_name(df, column), df.schema[column].dataType), by_name(df, column))
     found = _around(df, value, keys, [order, *ties], {"_found": side}, chunk, most)
-    return found.withColumn(column, F.col("_found")).select(*df.columns)
+    return found.withColumn(column, F.col("_found")).select(*own_columns(df))
 
 
 def fill_forward(
@@ -298,10 +298,10 @@ def fill_from_donors(
     """
     require_columns(df, [column, *match])
     require_columns(donors, [column, *match, order])
-    given = donors.where(~is_missing(donors[column], donors.schema[column].dataType))
-    chosen, rows = settle(given.groupBy(*match).agg(F.min(F.struct(F.col(order).alias("o"), F.col(column).alias("v")))["v"].alias("_donor")))
+    given = donors.where(~is_missing(by_name(donors, column), donors.schema[column].dataType))
+    chosen, rows = settle(given.groupBy(*quoted_all(match)).agg(F.min(F.struct(F.col(quoted(order)).alias("o"), F.col(quoted(column)).alias("v")))["v"].alias("_donor")))
     joined = null_safe_join(df, chosen, match, "left", broadcast_right=rows is not None)
-    return joined.withColumn(column, _filled(df, column, F.col("_donor"))).select(*df.columns)
+    return joined.withColumn(column, _filled(df, column, F.col("_donor"))).select(*own_columns(df))
 
 
 def fill_from_similar(df: DataFrame, column: str, match: Sequence[str], order: str) -> DataFrame:
@@ -312,7 +312,7 @@ def fill_from_similar(df: DataFrame, column: str, match: Sequence[str], order: s
 def _as_number(df: DataFrame, name: str) -> Column:
     """A number or a time as a double (times in seconds); NaN becomes NULL."""
     dtype = df.schema[name].dataType
-    value = df[name].cast("timestamp") if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else df[name]
+    value = by_name(df, name).cast("timestamp") if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else by_name(df, name)
     number = value.try_cast("double")
     return F.when(~F.isnan(number), number)
 
@@ -341,15 +341,15 @@ def fill_from_nearest_donor(
     if not match:
         raise ValueError("a deck imputation needs a match key")
     keys = [f"_m{i}" for i in range(len(match))]
-    present = ~is_missing(donors[column], donors.schema[column].dataType)
-    given = donors.where(present).select(*[donors[m].alias(k) for m, k in zip(match, keys)], _as_number(donors, near).alias("_at"), donors[column].alias("_value"))
+    present = ~is_missing(by_name(donors, column), donors.schema[column].dataType)
+    given = donors.where(present).select(*[by_name(donors, m).alias(k) for m, k in zip(match, keys)], _as_number(donors, near).alias("_at"), by_name(donors, column).alias("_value"))
     places = given.where(F.col("_at").isNotNull()).groupBy(*keys, "_at").agg(F.min("_value").alias("_value"))
 
-    missing = is_missing(df[column], df.schema[column].dataType)
+    missing = is_missing(by_name(df, column), df.schema[column].dataType)
     place = _as_number(df, near)
     asks = missing & place.isNotNull()
-    row = F.struct(*[df[c] for c in df.columns])
-    asking = df.where(asks).select(*[df[m].alias(k) for m, k in zip(match, keys)], place.alias("_at"), row.alias("_row"))
+    row = F.struct(*[by_name(df, c) for c in df.columns])
+    asking = df.where(asks).select(*[by_name(df, m).alias(k) for m, k in zip(match, keys)], place.alias("_at"), row.alias("_row"))
     donor = F.struct(F.col("_at").alias("at"), F.col("_value").alias("value"))
     both = asking.withColumn("_donor", F.lit(None).cast(places.select(donor.alias("d")).schema["d"].dataType)).unionByName(
         places.select(*keys, "_at", donor.alias("_donor")), allowMissingColumns=True
@@ -384,8 +384,8 @@ def fill_by_model(df: DataFrame, column: str, features: Sequence[str], kind: str
     if kind not in ("regression", "classification"):
         raise ValueError(f"unknown kind: {kind}")
     numbers = [f"_f{i}" for i in range(len(features))]
-    known = F.when(~is_missing(df[column], df.schema[column].dataType), df[column])
-    ready = df.withColumns({n: df[f].cast("double") for n, f in zip(numbers, features)})
+    known = F.when(~is_missing(by_name(df, column), df.schema[column].dataType), by_name(df, column))
+    ready = df.withColumns({n: by_name(df, f).cast("double") for n, f in zip(numbers, features)})
     labels: list[str] = []
     if kind == "regression":
         ready = ready.withColumn("_label", known.cast("double"))
@@ -407,10 +407,10 @@ def fill_by_model(df: DataFrame, column: str, features: Sequence[str], kind: str
         predicted = F.lit(float(model.intercept))
         for weight, name in zip(model.coefficients, numbers):
             predicted = predicted + F.lit(float(weight)) * F.col(name)
-        return ready.withColumn(column, F.coalesce("_label", predicted)).select(*df.columns)
+        return ready.withColumn(column, F.coalesce("_label", predicted)).select(*own_columns(df))
     keep = VectorAssembler(inputCols=numbers, outputCol="_features", handleInvalid="keep")
     scored = model.transform(keep.transform(ready))
     usable = F.forall(vector_to_array("_features"), lambda x: ~F.isnan(x))
     named = F.get(F.array(*[F.lit(label) for label in labels]), F.col("_prediction").cast("int"))
     filled = F.coalesce("_class", F.when(usable, named))
-    return scored.withColumn(column, filled.cast(df.schema[column].dataType)).select(*df.columns)
+    return scored.withColumn(column, filled.cast(df.schema[column].dataType)).select(*own_columns(df))

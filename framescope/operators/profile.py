@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import is_missing, percent
-from ..functions.guards import column, require_columns
+from ..functions.guards import by_name, require_columns
 
 # Upper limits (not included) of the severity classes, in percent.
 LOW_BELOW = 5
@@ -45,7 +45,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     counted = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[
-            F.count_if(is_missing(column(df, name), df.schema[name].dataType)).alias(f"m{i}")
+            F.count_if(is_missing(by_name(df, name), df.schema[name].dataType)).alias(f"m{i}")
             for i, name in enumerate(names)
         ],
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import is_missing, percent, short_key, strip
-from ..functions.guards import require_columns
+from ..functions.guards import by_name, quoted, require_columns
 from .distribution import top_values, value_counts
 
 # List lengths, section names (in report order) and severities.
@@ -72,7 +72,7 @@ def does_not_convert(df: DataFrame, name: str, expected: str) -> Column:
 
     Where Spark has no cast between two types, the value's text is read.
     """
-    value = df[name]
+    value = by_name(df, name)
     try:
         df.select(value.try_cast(expected))
         converted = value.try_cast(expected)
@@ -90,7 +90,7 @@ def same_type(stored: T.DataType, expected: T.DataType) -> bool:
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(n, rows, pct)``: rows beyond the first of their key; NULL keys equal one another."""
     require_columns(df, keys)
-    short = [short_key(df[key], df.schema[key].dataType).alias(f"_k{i}") for i, key in enumerate(keys)]
+    short = [short_key(by_name(df, key), df.schema[key].dataType).alias(f"_k{i}") for i, key in enumerate(keys)]
     per_key = df.groupBy(*short).agg(F.count(F.lit(1)).alias("_n"))
     return per_key.agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"),
@@ -147,7 +147,7 @@ def type_conformance(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
 def invalid_values(df: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
     """``(column, n, rows, pct)``: values that contain a keyword, for all columns in one scan."""
     require_columns(df, keywords)
-    return _tally(df, [({"column": c}, has_keyword(df[c], words)) for c, words in keywords.items()])
+    return _tally(df, [({"column": c}, has_keyword(by_name(df, c), words)) for c, words in keywords.items()])
 
 
 def top_invalid(
@@ -156,8 +156,8 @@ def top_invalid(
     """``(value, n)``: the most frequent invalid values, spelled as in the data."""
     require_columns(df, [column])
     return (
-        df.where(has_keyword(df[column], keywords))
-        .groupBy(df[column].alias("value"))
+        df.where(has_keyword(by_name(df, column), keywords))
+        .groupBy(by_name(df, column).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), F.asc("value"))
         .limit(k)
@@ -167,7 +167,7 @@ def top_invalid(
 def blank_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, n, rows, pct)``: texts of white space only."""
     require_columns(df, columns)
-    return _tally(df, [({"column": c}, is_blank(df[c])) for c in columns])
+    return _tally(df, [({"column": c}, is_blank(by_name(df, c))) for c in columns])
 
 
 def domain_violations(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:
@@ -190,7 +190,7 @@ def float_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, n, rows, pct)``: identifiers stored as numbers with a decimal part."""
     require_columns(df, columns)
     return _tally(
-        df, [({"column": c}, is_float_id(df[c], df.schema[c].dataType)) for c in columns]
+        df, [({"column": c}, is_float_id(by_name(df, c), df.schema[c].dataType)) for c in columns]
     )
 
 
@@ -208,14 +208,14 @@ def _findings(df: DataFrame, expected: Expectations) -> DataFrame:
             note = f"stored as {stored[name]}, expected {wanted}"
             rule(TYPES, name, "wrong type", note, does_not_convert(df, name, wanted))
     for name, words in expected.keywords.items():
-        rule(VALUES, name, "invalid values", "contains a listed keyword", has_keyword(df[name], words))
+        rule(VALUES, name, "invalid values", "contains a listed keyword", has_keyword(by_name(df, name), words))
     for name in expected.not_blank:
-        rule(VALUES, name, "blank strings", "white space instead of a missing value", is_blank(df[name]))
+        rule(VALUES, name, "blank strings", "white space instead of a missing value", is_blank(by_name(df, name)))
     for name, allowed in expected.domains.items():
         note = "allowed: " + ", ".join(str(a) for a in allowed)
-        rule(VALUES, name, "unexpected values", note, outside(df[name], allowed))
+        rule(VALUES, name, "unexpected values", note, outside(by_name(df, name), allowed))
     for name in expected.ids:
-        decimal = is_float_id(df[name], df.schema[name].dataType)
+        decimal = is_float_id(by_name(df, name), df.schema[name].dataType)
         rule(VALUES, name, "ids stored as decimals", "cast to text before use", decimal)
 
     parts = []
@@ -278,10 +278,10 @@ def exception_breakdown(df: DataFrame, expected: Expectations) -> DataFrame:
     are listed, of one with a domain all values, the most frequent ones each.
     """
     sides = [
-        (name, TOP_INVALID, F.when(has_keyword(df[name], words), df[name].cast("string")))
+        (name, TOP_INVALID, F.when(has_keyword(by_name(df, name), words), by_name(df, name).cast("string")))
         for name, words in expected.keywords.items()
     ]
-    sides += [(name, TOP_BREAKDOWN, df[name].cast("string")) for name in expected.domains]
+    sides += [(name, TOP_BREAKDOWN, by_name(df, name).cast("string")) for name in expected.domains]
     if not sides:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     entries = [
@@ -319,8 +319,8 @@ def missing_explained(df: DataFrame, target: str, flag: str) -> DataFrame:
     It is when every group of the flag is missing wholly or not at all, and the groups differ.
     """
     require_columns(df, [target, flag])
-    groups = df.groupBy(F.col(flag).alias("flag")).agg(
-        F.count_if(is_missing(F.col(target), df.schema[target].dataType)).alias("n_missing"), F.count(F.lit(1)).alias("rows")
+    groups = df.groupBy(F.col(quoted(flag)).alias("flag")).agg(
+        F.count_if(is_missing(F.col(quoted(target)), df.schema[target].dataType)).alias("n_missing"), F.count(F.lit(1)).alias("rows")
     )
     full, none = F.col("n_missing") == F.col("rows"), F.col("n_missing") == 0
     explained = groups.agg(F.every(full | none) & F.some(full) & F.some(none)).scalar()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import relabel
-from ..functions.guards import require_columns
+from ..functions.guards import by_name, require_columns
 from ..functions.periods import period_start
 
 # Series kept by default, the name of the rest, and the number of peaks.
@@ -36,10 +36,10 @@ def _counted(
 ) -> DataFrame:
     """``(period, label, n)``: the one aggregation that everything here starts from."""
     require_columns(df, [ts, series])
-    label = relabel(df[series], labels or {})
+    label = relabel(by_name(df, series), labels or {})
     return (
-        df.where(df[ts].isNotNull())
-        .groupBy(period(df[ts], freq, bins).alias("period"), label.alias("label"))
+        df.where(by_name(df, ts).isNotNull())
+        .groupBy(period(by_name(df, ts), freq, bins).alias("period"), label.alias("label"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -124,8 +124,8 @@ def period_totals(df: DataFrame, ts: str, freq: str = "D", bins: bool = False) -
     """``(period, n)``."""
     require_columns(df, [ts])
     return (
-        df.where(df[ts].isNotNull())
-        .groupBy(period(df[ts], freq, bins).alias("period"))
+        df.where(by_name(df, ts).isNotNull())
+        .groupBy(period(by_name(df, ts), freq, bins).alias("period"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

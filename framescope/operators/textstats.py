@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tx
-from ..functions.guards import column, require_columns
+from ..functions.guards import by_name, quoted, require_columns
 from ..functions.periods import period_start
 from ..functions.sizing import keyed_table
 from ..functions.wordlists import ENGLISH_STOPWORDS, FILIPINO_STOPWORDS, TOPIC_NOISE
@@ -30,7 +30,7 @@ def _count(terms: DataFrame) -> DataFrame:
 
 def _without_listed(words: DataFrame, column: str, stopwords: DataFrame) -> DataFrame:
     """The rows whose word is not in the table; NULL stays. The table is broadcast by a check of its size."""
-    listed, small = keyed_table(stopwords.select(F.col(f"`{stopwords.columns[0]}`").alias("_stop")).where("_stop IS NOT NULL").distinct())
+    listed, small = keyed_table(stopwords.select(F.col(quoted(stopwords.columns[0])).alias("_stop")).where("_stop IS NOT NULL").distinct())
     return words.join(F.broadcast(listed) if small else listed, words[column] == listed["_stop"], "left_anti")
 
 
@@ -40,9 +40,9 @@ def _tokens_by_table(df: DataFrame, text: str, stopwords: DataFrame, into: str)
     Each word becomes a row with its place, the listed ones fall away in a join, and the rest is
     put together again in order. The row itself travels once, beside a place of its own.
     """
-    row = F.struct(*[column(df, name).alias(name) for name in df.columns])
+    row = F.struct(*[by_name(df, name).alias(name) for name in df.columns])
     words = F.transform(tx.candidates(F.col("_bare")), lambda word: F.lower(word))
-    bare = df.select(F.monotonically_increasing_id().alias("_row"), row.alias("_all"), tx.without_marks(df[text]).alias("_bare"))
+    bare = df.select(F.monotonically_increasing_id().alias("_row"), row.alias("_all"), tx.without_marks(by_name(df, text)).alias("_bare"))
     nothing = F.lit(None)
     head = F.array(F.struct(F.lit(-1).alias("at"), nothing.cast("string").alias("word"), F.col("_all").alias("row"), F.col("_bare").isNull().alias("missing")))
     empty = nothing.cast(bare.schema["_all"].dataType)
@@ -72,7 +72,7 @@ def clean_tokens(
     if isinstance(stopwords, DataFrame):
         return _tokens_by_table(df, text, stopwords, into)
     # The text without marks is a column of its own so that it is computed once per row.
-    bare = df.withColumn("_bare", tx.without_marks(df[text]))
+    bare = df.withColumn("_bare", tx.without_marks(by_name(df, text)))
     return bare.withColumn(into, tx.keyword_tokens(F.col("_bare"), stopwords)).drop("_bare")
 
 
@@ -92,7 +92,7 @@ def keywords(
     in each task before the shuffle, so a very frequent word is no hot key.
     """
     require_columns(df, [text])
-    bare = df.select(tx.without_marks(df[text]).alias("_bare"))
+    bare = df.select(tx.without_marks(by_name(df, text)).alias("_bare"))
     words = bare.select(F.explode(tx.candidates(F.col("_bare"))).alias("_word"))
     terms = words.select(F.lower("_word").alias("term"))
     if isinstance(stopwords, DataFrame):
@@ -103,14 +103,14 @@ def keywords(
 def hashtags(df: DataFrame, text: str = "text") -> DataFrame:
     """``(term, n)`` of the hashtags in the raw texts, without the ``#``."""
     require_columns(df, [text])
-    return _count(df.select(F.explode(tx.hashtags(df[text])).alias("term")))
+    return _count(df.select(F.explode(tx.hashtags(by_name(df, text))).alias("term")))
 
 
 def bigrams(
     df: DataFrame, text: str = "text", stopwords: Stopwords = DEFAULT_STOPWORDS
 ) -> DataFrame:
     """``(term, n)`` of adjacent keywords within a text."""
-    tokens = clean_tokens(df.select(text), text, stopwords, into="_tokens")
+    tokens = clean_tokens(df.select(by_name(df, text)), text, stopwords, into="_tokens")
     pairs = tokens.select(F.inline(tx.adjacent(F.col("_tokens"))).alias("first", "second"))
     counted = pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.concat_ws(" ", "first", "second").alias("term"), "n")
@@ -120,7 +120,7 @@ def numeric_mentions(df: DataFrame, text: str = "text") -> DataFrame:
     """``(numeric_mentions)``: mentions made of digits only, over all texts."""
     require_columns(df, [text])
     return df.agg(
-        F.coalesce(F.sum(tx.numeric_mentions(df[text]).cast("bigint")), F.lit(0)).alias("numeric_mentions")
+        F.coalesce(F.sum(tx.numeric_mentions(by_name(df, text)).cast("bigint")), F.lit(0)).alias("numeric_mentions")
     )
 
 
@@ -132,8 +132,8 @@ def text_kpis(df: DataFrame, text: str = "text") -> DataFrame:
     require_columns(df, [text])
     none = F.array().cast("array<string>")
     listed = df.select(
-        F.coalesce(tx.hashtags(df[text]), none).alias("_tags"),
-        F.coalesce(tx.numeric_mentions(df[text]), F.lit(0)).cast("bigint").alias("_mentions"),
+        F.coalesce(tx.hashtags(by_name(df, text)), none).alias("_tags"),
+        F.coalesce(tx.numeric_mentions(by_name(df, text)), F.lit(0)).cast("bigint").alias("_mentions"),
     )
     tags = F.transform("_tags", lambda tag: F.struct(tag.alias("tag"), F.lit(0).cast("bigint").alias("mentions")))
     own = F.array(F.struct(F.lit(None).cast("string").alias("tag"), F.col("_mentions").alias("mentions")))
@@ -149,7 +149,7 @@ def text_kpis(df: DataFrame, text: str = "text") -> DataFrame:
 def hashtag_sketches(df: DataFrame, ts: str, text: str = "text", freq: str = "D", log_size: int = 12) -> DataFrame:
     """``(period, hashtag_uses, sketch)``: a mergeable sketch of the distinct hashtags of each period."""
     require_columns(df, [ts, text])
-    used = df.where(df[ts].isNotNull()).select(period_start(df[ts], freq).alias("period"), F.explode(tx.hashtags(df[text])).alias("_tag"))
+    used = df.where(by_name(df, ts).isNotNull()).select(period_start(by_name(df, ts), freq).alias("period"), F.explode(tx.hashtags(by_name(df, text))).alias("_tag"))
     return used.groupBy("period").agg(
         F.count(F.lit(1)).alias("hashtag_uses"), F.hll_sketch_agg("_tag", F.lit(log_size)).alias("sketch")
     )
@@ -179,7 +179,7 @@ def frequent_terms(
     all keywords (0 where the sketch holds every term), so a term whose count is further from the last rank is never missed.
     """
     require_columns(df, [text])
-    bare = df.select(tx.without_marks(df[text]).alias("_bare"))
+    bare = df.select(tx.without_marks(by_name(df, text)).alias("_bare"))
     words = bare.select(F.explode(tx.candidates(F.col("_bare"))).alias("_word")).select(F.lower("_word").alias("_word"))
     kept = words.where(~tx.is_stopword(F.col("_word"), stopwords))
     size = 1 << math.ceil(math.log2(tracked / 0.75))
@@ -212,9 +212,9 @@ def top_terms(
     summed over the follower they are the single terms, so the words are exploded and
     shuffled once for all three lists.
     """
-    tokens = clean_tokens(df.select(text), text, stopwords, into="_tokens")
+    tokens = clean_tokens(df.select(by_name(df, text)), text, stopwords, into="_tokens")
     words = F.coalesce("_tokens", F.array().cast("array<string>"))
-    tags = F.coalesce(tx.hashtags(F.col(text)), F.array().cast("array<string>"))
+    tags = F.coalesce(tx.hashtags(F.col(quoted(text))), F.array().cast("array<string>"))
     listed = tokens.select(
         words.alias("_words"),
         F.concat(words, F.transform(tags, lambda tag: F.concat(F.lit("#"), tag))).alias("_all"),

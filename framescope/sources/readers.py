@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.guards import column
+from ..functions.guards import by_name
 from ..functions.wordlists import NA_TOKENS
 
 FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json", "orc": "orc"}
@@ -23,7 +23,7 @@ def mark_missing(df: DataFrame, tokens: Sequence[str] = tuple(NA_TOKENS)) -> Dat
     """Turn the texts that stand for a missing value into NULL, in every text column."""
     columns = []
     for field in df.schema.fields:
-        value = column(df, field.name)
+        value = by_name(df, field.name)
         if isinstance(field.dataType, T.StringType) and field.name != CORRUPT:
             value = F.when(~value.isin(*tokens), value)
         columns.append(value.alias(field.name))
@@ -32,8 +32,8 @@ def mark_missing(df: DataFrame, tokens: Sequence[str] = tuple(NA_TOKENS)) -> Dat
 
 def split_malformed(df: DataFrame, corrupt: str = CORRUPT) -> tuple[DataFrame, DataFrame]:
     """The rows that could be read, without the column of malformed ones; and those, as ``record``."""
-    value = column(df, corrupt)
-    rows = df.where(value.isNull()).select(*[column(df, c) for c in df.columns if c != corrupt])
+    value = by_name(df, corrupt)
+    rows = df.where(value.isNull()).select(*[by_name(df, c) for c in df.columns if c != corrupt])
     return rows, df.where(value.isNotNull()).select(value.alias("record"))
 
 
