@@ -180,3 +180,15 @@ ORACLES["op12_ranked_search"] = rf"""
     SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
     FROM scored WHERE score > 0 QUALIFY rank <= 50
 """
+
+ORACLES["op7_warc_archives"] = """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+    FROM f
+"""

@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import new_path
-from .text import prepare
+from .text import prepare, stored
 
 # Payload bytes of one archive file, on average. A file is read whole by one task.
 FILE_BYTES = 8 << 20
+# Decisions (a page, a digest and a page) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+# Gzip at its fastest: most of the work of writing an archive is its compression.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 # Equal payloads of fewer bytes are stored again and again.
 REVISIT_BYTES = 100
 # Field names of a record line, by the version that the archive's first record states.
@@ -84,7 +88,7 @@ def write_arc(pages: DataFrame, path: str, files: int, date: str = DATE) -> None
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
 
     dealt = pages.repartition(files, F.xxhash64("id", "url"))
-    dealt.mapInArrow(archive, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    dealt.mapInArrow(archive, "value string").write.option("lineSep", "\n").options(**GZIP).text(path)
 
 
 # Reading ARC
@@ -184,6 +188,7 @@ def decide(records: DataFrame) -> DataFrame:
     row per task.
     """
     large = records.where((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("id").isNotNull())
+    large = stored(large.select("id", "digest"), "digests")  # the archives are parsed for them once
     first = large.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     first = first.where("first < last").select("digest", "first")
     later = large.select("id", "digest").join(first, "digest").where("id > first")
@@ -191,8 +196,12 @@ def decide(records: DataFrame) -> DataFrame:
 
 
 def convert(records: DataFrame, decisions: DataFrame) -> DataFrame:
-    """WARC records (one text each, without the closing blank lines) of parsed ARC records."""
-    joined = records.join(decisions, ["id", "digest"], "left")
+    """WARC records (one text each, without the closing blank lines) of parsed ARC records.
+
+    A small number of decisions is broadcast, so that the payloads stay where they are read.
+    """
+    few = decisions.count() <= BROADCAST_ROWS
+    joined = records.join(F.broadcast(decisions) if few else decisions, ["id", "digest"], "left")
     revisit = F.col("refers_to").isNotNull()
     body = F.concat("http", F.lit(CRLF * 2), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     day = F.date_format(F.coalesce(F.try_to_timestamp("date", F.lit("yyyyMMddHHmmss")), F.lit(datetime(1970, 1, 1))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -211,10 +220,12 @@ def convert(records: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("body", body).select(F.concat(header, F.lit(CRLF * 2), "body").alias("value"))
 
 
-def write_warc(warc: DataFrame, path: str, files: int) -> None:
-    """Write WARC records as gzipped files. The blank lines that end a record are the line separator."""
-    dealt = warc.repartition(files, F.xxhash64("value"))
-    dealt.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+def write_warc(warc: DataFrame, path: str, records: int) -> None:
+    """Write WARC records as gzipped files of at most ``records`` each.
+
+    The rows are written where they are; the blank lines that end a record are the line separator.
+    """
+    warc.write.option("lineSep", CRLF * 2).options(**GZIP).option("maxRecordsPerFile", records).text(path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -279,11 +290,11 @@ def archive_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     """
     spark = prepare(pages.sparkSession)
     rows = pages.select(pages[id_column].cast("long").alias("id"), pages[url_column].cast("string").alias("url"), pages[html_column].cast("string").alias("html"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) + F.count("*") * 400).first()[0]
-    files = file_count(size)
+    count = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) + F.count("*") * 400, F.count("*")).first()
+    files = file_count(count[0])
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(rows, arc, files)
     records = read_arc(spark, arc)
-    decisions = decide(records.select("id", "digest", "payload_bytes"))
-    write_warc(convert(records, decisions), warc, files)
+    decisions = stored(decide(records.select("id", "digest", "payload_bytes")), "revisits")
+    write_warc(convert(records, decisions), warc, count[1] // files + 1)
     return read_warc(spark, warc)
