@@ -108,13 +108,15 @@ def fit(
     """Fit on a bounded sample of the rows ``doc_id, text, lang``.
 
     The sample has at most ``per_language`` texts of each language and ``sample_texts`` in
-    all, whole texts of at most ``text_bytes`` bytes, picked by a hash. Its windows are
+    all, picked by a hash: whole texts of at most ``text_bytes`` bytes, and where a language has
+    too few of them, the beginnings of longer ones. Its windows are
     counted by Spark; their number, and so the model, is bounded by the sample's bytes.
     """
-    usable = labelled.where(
-        labelled["lang"].isNotNull() & (F.octet_length("text") <= text_bytes) & labelled["text"].rlike(r"\p{L}")
-    )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
+    usable = labelled.where(labelled["lang"].isNotNull() & labelled["text"].rlike(r"\p{L}"))
+    long = F.octet_length("text") > text_bytes
+    # A character has at most four bytes.
+    usable = usable.select("doc_id", "lang", long.alias("long"), F.when(long, F.substring("text", 1, text_bytes // 4)).otherwise(F.col("text")).alias("text"))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), F.xxhash64("text"))
     sample = usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
     sample = sample.orderBy("place", "lang").limit(sample_texts).select("lang", "text")
     counted = sample.mapInArrow(windows_of, "lang string, size int, window long, n long")
