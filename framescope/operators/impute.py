@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -402,15 +403,22 @@ def fill_by_model(df: DataFrame, column: str, features: Sequence[str], kind: str
     model = estimator(featuresCol="_features", labelCol="_label", predictionCol="_prediction").fit(
         complete.select("_features", "_label")
     )
-    # The linear form is written as an expression, so rows with a missing feature stay.
+    # The linear forms are written as expressions, so rows with a missing feature stay.
+    def linear(weights: Sequence[float], intercept: float) -> Column:
+        form = F.lit(float(intercept))
+        for weight, name in zip(weights, numbers):
+            form = form + F.lit(float(weight)) * F.col(name)
+        return form
+
     if kind == "regression":
-        predicted = F.lit(float(model.intercept))
-        for weight, name in zip(model.coefficients, numbers):
-            predicted = predicted + F.lit(float(weight)) * F.col(name)
+        predicted = linear(model.coefficients, model.intercept)
         return ready.withColumn(column, F.coalesce("_label", predicted)).select(*own_columns(df))
-    keep = VectorAssembler(inputCols=numbers, outputCol="_features", handleInvalid="keep")
-    scored = model.transform(keep.transform(ready))
-    usable = F.forall(vector_to_array("_features"), lambda x: ~F.isnan(x))
-    named = F.get(F.array(*[F.lit(label) for label in labels]), F.col("_prediction").cast("int"))
+    if model.numClasses <= 2:
+        index = (linear(model.coefficients, model.intercept) > 0).cast("int")
+    else:
+        scores = F.array(*[linear(w, b) for w, b in zip(model.coefficientMatrix.toArray(), model.interceptVector)])
+        index = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    usable = reduce(and_, [F.col(name).isNotNull() & ~F.isnan(name) for name in numbers])
+    named = F.get(F.array(*[F.lit(label) for label in labels]), index)
     filled = F.coalesce("_class", F.when(usable, named))
-    return scored.withColumn(column, filled.cast(df.schema[column].dataType)).select(*own_columns(df))
+    return ready.withColumn(column, filled.cast(df.schema[column].dataType)).select(*own_columns(df))

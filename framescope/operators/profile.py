@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import is_missing, percent
@@ -15,8 +15,10 @@ LOW_BELOW = 5
 MODERATE_BELOW = 20
 
 
-def shape(df: DataFrame) -> DataFrame:
-    """``(rows, columns)``."""
+def shape(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``(rows, columns)``; with ``counted`` (see :func:`counting`) the table is not read."""
+    if counted is not None:
+        return counted.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("columns"))
     return df.agg(
         F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns")
     )
@@ -61,6 +63,25 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return counted.select(F.inline(F.array(*entries)))
 
 
+def counting(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df``, counting its rows and missing values while something else is done with it.
+
+    The counts come from the tasks of the first action on the result, such as the write of a copy, so
+    they cost no scan. Use it where that action has no shuffle above it: then each partition counts once,
+    also when a task is run again.
+    """
+    observation = Observation()
+    counts = [F.count_if(is_missing(by_name(df, f.name), f.dataType)).alias(f"m{i}") for i, f in enumerate(df.schema.fields)]
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"), *counts), observation
+
+
+def observed_counts(df: DataFrame, observation: Observation) -> DataFrame:
+    """What :func:`missing_counts` gives, from an action that has run; one row per column."""
+    seen = observation.get
+    rows = [(i, name, seen[f"m{i}"], seen["rows"]) for i, name in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(rows, "ordinal int, column string, n_missing bigint, rows bigint")
+
+
 def severity(pct: Column) -> Column:
     """Class of a missing percentage; NULL stays NULL."""
     return (
@@ -71,24 +92,32 @@ def severity(pct: Column) -> Column:
     )
 
 
-def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def missing_report(
+    df: DataFrame, columns: Sequence[str] | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Missing counts with ``pct`` and ``severity``, one row per column."""
-    counted = missing_counts(df, columns).withColumn("pct", percent(F.col("n_missing"), F.col("rows")))
-    return counted.withColumn("severity", severity(F.col("pct")))
+    counts = missing_counts(df, columns) if counted is None else counted
+    shares = counts.withColumn("pct", percent(F.col("n_missing"), F.col("rows")))
+    return shares.withColumn("severity", severity(F.col("pct")))
 
 
-def missing_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def missing_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Only the columns with missing values, by ascending share."""
     return (
-        missing_report(df, columns)
+        missing_report(df, columns, counted)
         .where(F.col("n_missing") > 0)
         .orderBy("pct", "n_missing", "column")
     )
 
 
-def missing_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def missing_summary(
+    df: DataFrame, columns: Sequence[str] | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """``(columns_with_missing, columns)``."""
-    return missing_counts(df, columns).agg(
+    counts = missing_counts(df, columns) if counted is None else counted
+    return counts.agg(
         F.count_if(F.col("n_missing") > 0).alias("columns_with_missing"),
         F.count(F.lit(1)).alias("columns"),
     )

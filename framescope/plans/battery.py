@@ -54,15 +54,15 @@ class PostColumns:
     metrics: tuple[str, ...] = tuple(METRIC_RENAMES.values())
 
 
-def profile_reports(df: DataFrame) -> Reports:
-    """Shape, schema and missing values of any table."""
+def profile_reports(df: DataFrame, counted: DataFrame | None = None) -> Reports:
+    """Shape, types and missing values; ``counted`` are counts taken while the table was written."""
     return {
-        "dataset_shape": profile.shape(df),
+        "dataset_shape": profile.shape(df, counted),
         "column_names_and_dtypes": profile.schema_listing(df),
         "dtype_distribution": profile.dtype_distribution(df),
-        "missing_data": profile.missing_report(df),
-        "missing_columns": profile.missing_columns(df),
-        "missing_summary": profile.missing_summary(df),
+        "missing_data": profile.missing_report(df, counted=counted),
+        "missing_columns": profile.missing_columns(df, counted=counted),
+        "missing_summary": profile.missing_summary(df, counted=counted),
     }
 
 
@@ -186,13 +186,17 @@ def bivariate_reports(df: DataFrame, c: PostColumns = PostColumns()) -> Reports:
     }
 
 
-def all_author_reports(df: DataFrame, c: AuthorColumns = AuthorColumns()) -> Reports:
-    return profile_reports(df) | quality_reports(df, author_expectations(c)) | author_reports(df, c)
+def all_author_reports(
+    df: DataFrame, c: AuthorColumns = AuthorColumns(), counted: DataFrame | None = None
+) -> Reports:
+    return profile_reports(df, counted) | quality_reports(df, author_expectations(c)) | author_reports(df, c)
 
 
-def all_post_reports(df: DataFrame, c: PostColumns = PostColumns()) -> Reports:
+def all_post_reports(
+    df: DataFrame, c: PostColumns = PostColumns(), counted: DataFrame | None = None
+) -> Reports:
     return (
-        profile_reports(df)
+        profile_reports(df, counted)
         | quality_reports(df, post_expectations(c))
         | engagement_reports(df, c)
         | categorical_reports(df, c)
@@ -213,18 +217,21 @@ def run(
 ) -> list[str]:
     """Write every report of both tables to ``out`` and return the paths.
 
-    A CSV file is parsed once: the reports read a Parquet copy in the shared folder. With
+    A CSV file is parsed once: the reports read a Parquet copy in the shared folder, and the counts
+    of rows and missing values are taken while that is written. With
     ``infer`` its columns get types, which the type reports then show; without ``multi_line``
     the file can be split (``read_csv``).
     """
     written = []
     for name, source, reports in (("authors", authors, all_author_reports), ("posts", posts, all_post_reports)):
         base = base_name(source) if isinstance(source, str) else name
-        frame = as_frame(spark, source, infer=infer, multi_line=multi_line)
+        frame, counted = as_frame(spark, source, infer=infer, multi_line=multi_line), None
         if isinstance(source, str) and format_of(source) == "csv":
             copy = new_path(spark, base)
-            frame.write.parquet(copy)
+            watched, observation = profile.counting(frame)
+            watched.write.parquet(copy)
+            counted = profile.observed_counts(frame, observation)
             frame = spark.read.parquet(copy)
-        for report, result in reports(frame).items():
+        for report, result in reports(frame, counted=counted).items():
             written.append(write_report(result, out, base, report, fmt))
     return written

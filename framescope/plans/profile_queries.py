@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profile
+from ..sources import scratch
 from ..functions.sizing import null_safe_join
 from .catalog import Tables, query
 
@@ -122,6 +123,15 @@ def missing_report(t: Tables) -> DataFrame:
     return profile.missing_report(holes(t)).withColumn("pct", F.round("pct", 6))
 
 
+@query("missing_while_written", MISSING_SQL)
+def missing_while_written(t: Tables) -> DataFrame:
+    """The same report from counts that were taken while a copy of the table was written."""
+    watched, observation = profile.counting(holes(t))
+    watched.write.parquet(scratch.new_path(t.spark, "copy"))
+    counted = profile.observed_counts(watched, observation)
+    return profile.missing_report(watched, counted=counted).withColumn("pct", F.round("pct", 6))
+
+
 @query("missing_columns", f"SELECT * FROM ({MISSING_SQL}) WHERE n_missing > 0 ORDER BY pct, n_missing, \"column\"")
 def missing_columns(t: Tables) -> DataFrame:
     return profile.missing_columns(holes(t)).withColumn("pct", F.round("pct", 6))

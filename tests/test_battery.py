@@ -4,6 +4,8 @@ import pytest
 
 from framescope.plans import battery
 
+from .test_plans import records_read
+
 AUTHORS = """author_userName,author_createdAt,author_isBlueVerified,author_location,author_profile_bio_description,author_followers,author_following
 ann,2020-01-01T00:00:00Z,True,Manila,writer,100,5
 bob,2021-02-03T00:00:00Z,false,Manila,,2000,0
@@ -74,3 +76,17 @@ def test_missing_columns_are_named(spark):
         battery.temporal_reports(df)
     with pytest.raises(ValueError, match="viewCount"):
         battery.bivariate_reports(df)
+
+
+def test_counts_come_from_the_pass_that_writes_the_copy(spark, files):
+    from framescope.operators import profile
+
+    frame = spark.read.csv(str(files / "posts.csv"), header=True)
+    watched, observation = profile.counting(frame)
+    watched.write.mode("overwrite").parquet(str(files / "copy"))
+    before = records_read(spark)
+    counted = profile.observed_counts(frame, observation)
+    reports = battery.profile_reports(frame, counted)
+    got = {name: sorted(map(tuple, reports[name].collect())) for name in ("dataset_shape", "missing_data", "missing_columns", "missing_summary")}
+    assert records_read(spark) == before
+    assert got == {name: sorted(map(tuple, result.collect())) for name, result in battery.profile_reports(frame).items() if name in got}

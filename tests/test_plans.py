@@ -22,6 +22,7 @@ PASSES = {
     "metric_profile": {"lineitem": 2},
     "quality_rollup": {"documents": 2},
     "stacked_bounds": {"events": 1},
+    "text_kpis": {"documents": 1},
     "top_terms": {"documents": 1},
     "top_values_with_others": {"part": 1},
     "trait_lift": {"documents": 1},

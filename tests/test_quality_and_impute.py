@@ -235,3 +235,12 @@ def test_models(spark):
     assert classes[0.0] == 0 and classes[16.0] == 1 and classes[None] is None
     with pytest.raises(ValueError, match="kind"):
         impute.fill_by_model(df, "y", ["x"], "guess")
+
+
+def test_models_of_one_and_of_three_classes(spark):
+    rows = [(float(x), float(y), f"{'abc'[x // 10]}" if (x + y) % 5 else None) for x in range(30) for y in range(3)] + [(1.0, NAN, None), (None, 1.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, c string")
+    got = {(r["x"], r["y"]): r["c"] for r in impute.fill_by_model(df, "c", ["x", "y"], "classification").collect() if r["y"] == r["y"]}
+    assert [got[float(x), 0.0] for x in (0, 5, 15, 25)] == ["a", "a", "b", "c"] and got[None, 1.0] is None
+    alone = df.where("c is null or c = 'a'")
+    assert {r["c"] for r in impute.fill_by_model(alone, "c", ["x", "y"], "classification").where("x is not null and not isnan(y)").collect()} == {"a"}
