@@ -26,6 +26,10 @@ NEARLY_FULL = (0.995, 0.98, 0.95)
 CARRIED = 4096
 # Words whose ids a task remembers.
 REMEMBERED = 600_000
+# Text bytes that are turned into ids at once.
+TEXT_BYTES = 4 << 20
+# Items that one task of round 0 packs, about.
+RUN_ITEMS = 100_000
 # A letter before ASCII marks is always a token border, whatever stands before the letter.
 TAIL = re.compile(r"(?s)(.*[a-zA-Zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)")
 
@@ -54,7 +58,7 @@ class WordIds:
                 found = None if "<|" in word else TAIL.fullmatch(word)
                 new[i] = found.groups() if found else (word,)
         missing = list({p for split in new.values() for p in split if p not in known})
-        for part, encoded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+        for part, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             known[part] = array("I", encoded.ids).tobytes()
         for i, split in new.items():
             out[i] = known[split[0]] if len(split) == 1 else known[split[0]] + known[split[1]]
@@ -83,7 +87,7 @@ def pieces(
         import pyarrow.compute as pc
 
         encoder = WordIds(tokenizer)
-        for table in blocks(batches, fill=True):
+        for table in blocks(batches, limit=TEXT_BYTES, fill=True):
             texts = one_array(table.column("text"))
             # The tokenizer lower-cases; doing it first for A-Z leaves fewer distinct words.
             texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
@@ -151,11 +155,16 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def pack(items: DataFrame, capacity: int = CAPACITY, length_column: str = "length") -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``: each is placed whole in one sequence.
 
-    Round 0 packs every partition by itself, best fit in order of falling length. Bins that
+    The items are dealt evenly, so that each run of round 0 meets all lengths and not those of
+    one file. Round 0 packs every run by itself, best fit in order of falling length. Bins that
     are nearly full are final; the others become items of their fill, and a tree of merge tasks,
     each over the bins of ``FAN_IN`` tasks before it, packs them again, until one task is left. A
     task hands on at most ``CARRIED`` bins, the emptiest; what it does not hand on is final as
-    it is, so that no task grows with the table and every item has its place.
+    it is, so that no task grows with the table and every item has its place. That loses no
+    merge: best fit opens a bin only for an item that fits in none, so any two bins of a run hold
+    more than ``capacity`` together, and two bins can only be joined if one of them is at most half
+    full. There is at most one such bin in a run, and it is the emptiest; a merge task gets one from each
+    run before it, ``FAN_IN`` in all, and hands on at most one itself.
 
     Lengths are from 1 to ``capacity``; others, and NULL, raise an error. An empty table gives
     no row. Repeated rows are items of their own. Columns named as the two results are replaced.
@@ -164,6 +173,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_column: str = "lengt
     items = stored(items.drop("sequence_id", "offset"), "pieces")
     names = items.columns
     whole = items.select(F.struct(*names).alias("item"), items[length_column].cast("long").alias("size"))
+    whole = whole.repartition(items.count() // RUN_ITEMS + 1)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
