@@ -194,3 +194,15 @@ def test_patterns_discover_other_spellings(spark):
 
 def test_personal_data_of_nothing(spark):
     assert pii.find(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_languages_that_have_only_long_texts(spark):
+    from framescope.llm import langid
+
+    french = "les rivières débordent après la pluie et la ville attend " * 500
+    rows = [(i, french + str(i), "fr") for i in range(6)] + [(100 + i, f"the rivers rise after rain and towns wait {i}", "en") for i in range(6)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(labelled)
+    assert model.languages == ["en", "fr"]
+    asked = spark.createDataFrame([("la ville attend la pluie",), ("towns wait after rain",), (french,)], "text string")
+    assert [r["lang_pred"] for r in langid.predict(asked, model).collect()] == ["fr", "en", "fr"]

@@ -83,6 +83,28 @@ def test_packing_merges_bins_over_many_tasks(spark):
         packing.pack(spark.range(1).select(F.lit(101).alias("length")), capacity=100).count()
 
 
+def test_more_bins_than_are_carried_lose_no_merge(spark, monkeypatch):
+    """Items just over half a sequence beside small ones, dealt to many runs; the cap binds at one bin."""
+    rng = np.random.default_rng(2)
+    lengths = [*rng.integers(51, 96, 900).tolist(), *rng.integers(1, 50, 600).tolist()]
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "i long, length long").repartition(3)
+    monkeypatch.setattr(packing, "RUN_ITEMS", 100)
+    counts = []
+    for carried in (4096, 1):
+        monkeypatch.setattr(packing, "CARRIED", carried)
+        got = packing.pack(items, capacity=100).collect()
+        assert sorted(r["i"] for r in got) == list(range(len(lengths)))
+        filled = {}
+        for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert filled.get(r["sequence_id"], 0) == r["offset"]
+            filled[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(filled.values()) <= 100
+        counts.append(len(filled))
+    assert counts[0] == counts[1]
+    # Every run of round 0 meets all lengths: near the bound that one run over all items reaches.
+    assert counts[0] <= packing.best_fit(np.array(lengths), 100)[2].size * 1.05
+
+
 def test_language_model(stable, none):
     train = F.coalesce(bucket_of(F.col("doc_id"), 7), F.lit(0)) != 2
     got = lm.scores(stable, train).collect()
