@@ -99,10 +99,14 @@ def as_frame(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows to as many tasks as ``framescope.spread.partitions`` says; as it is by default.
+    """Rows of a scan with fewer splits than the session has cores, dealt to all cores.
 
-    For a caller whose input is a few small files with much work per row (text). It shuffles
-    the whole rows, so it is never done unasked.
+    For a caller whose rows need much work (text). It shuffles whole rows, but only of inputs of a
+    few splits; a table with a split for every core stays as it is. ``framescope.spread.partitions``
+    asks for a number instead, at any size.
     """
     partitions = df.sparkSession.conf.get("framescope.spread.partitions", None)
-    return df.repartition(int(partitions)) if partitions else df
+    if partitions:
+        return df.repartition(int(partitions))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
