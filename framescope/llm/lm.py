@@ -18,8 +18,8 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 3, 2
 # Customers that are seated one by one before seating jumps from new table to new table.
 STEPS = 12
-# Text bytes of a block of documents, and of a bucket of contexts.
-BLOCK, BUCKET = 16 << 20, 12 << 20
+# Text bytes of a block of documents (a task holds one at a time, in some 60 MB), and of a bucket of contexts.
+BLOCK, BUCKET = 4 << 20, 12 << 20
 # Bits of a word's hash in pairs.
 WORD_BITS = 40
 START, END = 1, 2  # hashes of the beginning and the end of a text

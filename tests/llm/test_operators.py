@@ -167,6 +167,36 @@ def test_scores_do_not_depend_on_the_number_of_tasks(spark, monkeypatch):
     assert found[1] == pytest.approx(found[0], rel=5e-4)
 
 
+def test_scores_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for block in (lm.BLOCK, 4096):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        found.append(lm.scores(table, bucket_of(table["doc_id"], 7) != 2).agg(F.sum("score")).first()[0])
+    assert found[1] == pytest.approx(found[0], rel=5e-4)
+
+
+def test_a_block_is_held_in_little_memory():
+    """A task holds one block at a time; its arrays stay small, however large the input grows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(200_000)])
+    words = vocabulary[(rng.zipf(1.1, lm.BLOCK // 6) - 1) % len(vocabulary)]
+    texts = [" ".join(words[i : i + 500].tolist()) for i in range(0, len(words), 500)]
+    tracemalloc.start()
+    try:
+        block = lm.Block(pa.array(texts), np.ones(len(texts), bool))
+        block.pairs()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) >= lm.BLOCK // 2
+    assert peak < 100 << 20
+
+
 def test_seating_equals_single_steps():
     """The mean number of tables, with jumps, is that of seating customer by customer."""
     rng = np.random.default_rng(2)
