@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import blocks, mix, one_array, packed_numbers, prepare, stored, sums, unpacked_numbers, word_hashes, words_of
+from .text import blocks, mix, one_array, packed_numbers, prepare, stored, stored_for_now, sums, unpacked_numbers, word_hashes, words_of
 
 # Discount and strength of the context restaurants; the root has discount 0 and strength V + 1.
 DISCOUNT, STRENGTH = 0.75, 1.0
@@ -310,15 +310,17 @@ def scores(documents: DataFrame, train: Column, id_column: str = "doc_id", text_
 
     asked = rows.mapInArrow(ask_pairs, "bucket int, block long, check long, payload binary")
     start = stored(asked.groupBy("bucket").applyInArrow(begin, shape), "start")
-    current, samples = start, []
+    # Replies and burnt-in sweeps that no later step reads are deleted once the next ones are stored.
+    current, samples, current_path, replies_path = start, [], None, None
     for number in range(BURN_IN + SAMPLES):
-        replies = stored(current.where("kind = 1").groupBy("to").applyInArrow(parents, shape), "parents")
+        replies, replies_path = stored_for_now(current.where("kind = 1").groupBy("to").applyInArrow(parents, shape), "parents", replies_path)
         told_all = np.zeros(2, np.int64)
         for row in replies.where("kind = 3").select("payload").collect():  # one short row per bucket
             told_all += unpacked_numbers(bytes(row["payload"]))[0].astype(np.int64)
         given = start.where("kind = 5").unionAll(current.where("kind = 6")).unionAll(replies.where("kind = 7"))
         sweep = sweep_of(number, split_tables(current), *told_all.tolist())
-        current = stored(given.groupBy("to").applyInArrow(sweep, shape), "sweep")
+        done = current_path if 0 < number <= BURN_IN else None
+        current, current_path = stored_for_now(given.groupBy("to").applyInArrow(sweep, shape), "sweep", done)
         if number >= BURN_IN:
             samples.append(current)
     opened_hot = [split_tables(sample) for sample in samples]
