@@ -245,6 +245,52 @@ def test_similar_lines_are_one_group(spark):
     assert sum("word199" in r["text"] for r in kept) <= 10 and len(kept) == 13
 
 
+def test_line_fingerprints_by_rows(spark):
+    # More words than the counters of rows hold, rows that repeat, NULL ids: as the arrays count them.
+    long = " ".join(f"w{i % 977}" for i in range(9000))
+    rows = [(1, "a b c d e f g\nÄpfel, und BIRNEN!\n...\n\n7"), (None, "one\ntwo words"), (2, long + "\nshort")]
+    rows += [(3, "said again and again")] * 2 + [(4, "many times")] * 4100
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r["id"], r["pos"]): r["s"] for r in lines.fingerprinted(df, "id", "text").collect()}
+    line = lines.raw_lines(df, "id", "text").select("id", "pos", F.transform(F.split(lines.normalised(F.col("raw")), " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    line = line.distinct().select("id", "pos", F.size("hashes").alias("words"), lines.simhash("hashes").alias("chunks"))
+    wanted = {(r["id"], r["pos"]): r["s"] for r in line.select("id", "pos", lines.majority("chunks", F.col("words")).alias("s")).collect()}
+    assert got == wanted and len(got) == 9 and None not in got.values()
+
+
+def test_unlike_lines_are_told_by_their_beginnings(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh ijkl"), 9)) for _ in range(400)]
+    texts = []
+    for _ in range(30):
+        base = " ".join(rng.choice(words, rng.integers(1, 40)))
+        texts.append(base)
+        for share in (0.1, 0.19, 0.3):  # edits anywhere, at the start, at the end
+            n = int(share * len(base))
+            texts += [base[n:], base[: len(base) - n], "#" * n + base[n:], "".join(c if rng.random() > share else "é" for c in base)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h1 long, line string")
+    pairs = df.select(F.col("h1").alias("a"), F.col("line").alias("x")).crossJoin(df.select(F.col("h1").alias("b"), F.col("line").alias("y"))).where("a < b")
+    limit = F.floor(F.greatest(F.length("x"), F.length("y")) * 0.2 + 1e-9)
+    alike = pairs.where(F.levenshtein("x", "y") <= limit).select("a", "b")
+    left = lines.possible(pairs.select("a", "b"), df)
+    assert alike.count() > 100 and alike.exceptAll(left).count() == 0
+    assert left.count() < 0.2 * pairs.count()
+
+
+def test_similar_pairs_beside_the_least_line(spark):
+    # Three lines of one block of which the least is like none: the two others are still found.
+    base = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:i] + [f"else{i}"] + base[i + 1 :])) for i in range(0, 160, 4)] + [(1000 + i, " ".join(base[::-1][i:])) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = lines.fingerprinted(df, "doc_id", "text").select("h1", "s", "id").collect()
+    text = dict(rows)
+    near = [(p, q) for p in made for q in made if p["h1"] < q["h1"] and bin((p["s"] ^ q["s"]) & (2**64 - 1)).count("1") <= lines.RADIUS]
+    both = spark.createDataFrame([(p["h1"], q["h1"], text[p["id"]], text[q["id"]]) for p, q in near], "a long, b long, x string, y string")
+    alike = both.where(F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * 0.2 + 1e-9)).collect()
+    group = {r["h1"]: r["component"] for r in lines.line_groups(df)[1].collect()}
+    assert alike and all(group[r["a"]] == group[r["b"]] for r in alike)
+
+
 def test_language_id(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = bucket_of(table["doc_id"], 5) == 0
