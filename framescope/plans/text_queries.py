@@ -23,7 +23,7 @@ POSTS_SQL = """
 
 
 def posts(t: Tables) -> DataFrame:
-    d = spread(t.documents)
+    d = spread(t.documents, to_cores=True)
     text = F.concat(
         d.text, F.lit(" #"), d.source, F.lit(" #"), d.lang, F.lit(" @"), d.doc_id.cast("string"),
         F.lit(" @"), d.source, F.lit(" https://x.example/"), d.lang, F.lit("#part"), d.lang,
@@ -92,7 +92,7 @@ def clean_tokens(t: Tables) -> DataFrame:
 
 @query("keywords", _keywords_sql("SELECT doc_id, text FROM documents"))
 def keywords(t: Tables) -> DataFrame:
-    return textstats.keywords(spread(t.documents))
+    return textstats.keywords(spread(t.documents, to_cores=True))
 
 
 @query("hashtags", _hashtags_sql(POSTS_SQL))
@@ -102,7 +102,7 @@ def hashtags(t: Tables) -> DataFrame:
 
 @query("bigrams", _bigrams_sql("SELECT doc_id, text FROM documents"))
 def bigrams(t: Tables) -> DataFrame:
-    return textstats.bigrams(spread(t.documents))
+    return textstats.bigrams(spread(t.documents, to_cores=True))
 
 
 @query("numeric_mentions", _mentions_sql(POSTS_SQL))
@@ -132,7 +132,7 @@ def text_kpis(t: Tables) -> DataFrame:
     """,
 )
 def ranked_keywords(t: Tables) -> DataFrame:
-    return textstats.ranked(textstats.keywords(spread(t.conversations)), textstats.TOP_KEYWORDS)
+    return textstats.ranked(textstats.keywords(spread(t.conversations, to_cores=True)), textstats.TOP_KEYWORDS)
 
 
 @query(
@@ -177,7 +177,7 @@ def _unlisted_sql(source: str) -> str:
     f"SELECT word AS term, count(*) AS n FROM ({_unlisted_sql('SELECT doc_id, text FROM documents')}) GROUP BY 1",
 )
 def keywords_by_table(t: Tables) -> DataFrame:
-    return textstats.keywords(spread(t.documents), stopwords=listed_words(t))
+    return textstats.keywords(spread(t.documents, to_cores=True), stopwords=listed_words(t))
 
 
 @query(
@@ -188,7 +188,7 @@ def keywords_by_table(t: Tables) -> DataFrame:
     """,
 )
 def bigrams_by_table(t: Tables) -> DataFrame:
-    return textstats.bigrams(spread(t.documents), stopwords=listed_words(t))
+    return textstats.bigrams(spread(t.documents, to_cores=True), stopwords=listed_words(t))
 
 
 @query(
@@ -197,8 +197,8 @@ def bigrams_by_table(t: Tables) -> DataFrame:
 )
 def frequent_terms(t: Tables) -> DataFrame:
     """Sketched terms held against exact counts: how many are within their bound, and which should be listed."""
-    exact = textstats.keywords(spread(t.documents)).withColumnRenamed("n", "exact")
-    found = textstats.frequent_terms(spread(t.documents)).select("term", "n", "max_error")
+    exact = textstats.keywords(spread(t.documents, to_cores=True)).withColumnRenamed("n", "exact")
+    found = textstats.frequent_terms(spread(t.documents, to_cores=True)).select("term", "n", "max_error")
     both = exact.join(found, "term", "left")
     last = found.agg(F.struct(F.min("n").alias("n"), F.max("max_error").alias("e"))).scalar()
     return both.agg(

@@ -98,15 +98,15 @@ def as_frame(
     return reader.format(kind).load(source)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than the session has cores, dealt to all cores.
+def spread(df: DataFrame, to_cores: bool = False) -> DataFrame:
+    """Rows dealt to ``framescope.spread.partitions`` tasks, at any size, where that is set.
 
-    For a caller whose rows need much work (text). It shuffles whole rows, but only of inputs of a
-    few splits; a table with a split for every core stays as it is. ``framescope.spread.partitions``
-    asks for a number instead, at any size.
+    Else, only if ``to_cores`` asks for it, rows of a scan with fewer splits than the session has cores are dealt
+    to all cores. For a caller whose rows need much work (text): it shuffles whole rows, but only of
+    inputs of a few splits; a table with a split for every core stays as it is.
     """
     partitions = df.sparkSession.conf.get("framescope.spread.partitions", None)
     if partitions:
         return df.repartition(int(partitions))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if to_cores and df.rdd.getNumPartitions() < cores else df
